@@ -1,8 +1,10 @@
 """The queries of this subpackage by name, with the SQL that gives the same rows where SQL can express it."""
 
 from attesta.llm.language_id import op3_language_id
+from attesta.llm.simhash import op7_simhash_near_dedup
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLE_SQL: dict = {}
