@@ -40,7 +40,7 @@ BASE_RULES = (
 MORE_RULES = (
     QualityRule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
     QualityRule("symbols", lambda: 4 * F.col("n_symbols") > F.col("n_words")),
-    QualityRule("repeated_lines", lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+    QualityRule("repeated_lines", lambda: (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))),
     QualityRule("capitals", lambda: 2 * _count_of(r"\p{Lu}") > F.col("word_chars")),
     QualityRule("exclamations", lambda: 4 * _count_of("!") > F.col("n_words")),
     QualityRule("wordless", lambda: 10 * F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))) < 6 * F.col("n_words")),
@@ -48,70 +48,74 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """Columns ``text`` (null: empty) and ``words``, and the statistics that rules read, added to ``docs``.
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    n_words, word_chars (code points in words), n_symbols, n_lines (with a word), n_dup_lines (equal to an earlier line) and
-    n_repeat_words: words in windows of three that stand twice or more in the text, the first included.
 
-    For the windows, each becomes one long: a hash in the high bits, and its place in as many low bits as the text's number
-    of words needs. Sorted, equal windows are neighbours; that they are equal is then told by their words.
+def repeat_words(text_words: Column) -> Column:
+    """Words in windows of three that stand twice or more in the text, the first included.
+
+    Each window becomes one long: a hash in the high bits, and its place in as many low bits as the number of words needs.
+    Sorted, equal windows are neighbours; that they are equal is then told by their words.
     """
-    n = F.col("n_words")
-    low = F.col("_low")
-    windows = F.transform(
-        F.arrays_zip(*[F.slice("words", k + 1, F.col("_m")).alias(f"w{k}") for k in range(WINDOW)]),
-        lambda z, i: F.xxhash64(*[z[f"w{k}"] for k in range(WINDOW)]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
-    )
-    neighbours = F.arrays_zip(
-        F.slice("_ordered", 1, F.greatest(F.size("_ordered") - 1, F.lit(0))).alias("a"),
-        F.slice("_ordered", 2, F.greatest(F.size("_ordered") - 1, F.lit(0))).alias("b"),
-    )
 
-    def equal(pair: Column) -> Column:
-        a, b = pair["a"].bitwiseAND(low).cast("int"), pair["b"].bitwiseAND(low).cast("int")
-        alike = F.shiftrightunsigned(pair["a"].bitwiseXOR(pair["b"]), 1) <= F.shiftrightunsigned(low, 1)
-        for k in range(WINDOW):
-            alike = alike & (F.get("words", a + k) == F.get("words", b + k))
-        return alike
-
-    places = F.sort_array(
-        F.flatten(
-            F.transform(
-                "_pairs", lambda p: F.array(p["a"].bitwiseAND(low).cast("int"), p["b"].bitwiseAND(low).cast("int"))
-            )
+    def over(w: Column) -> Column:
+        count = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(w).cast("long")))) - 1
+        return _bind(low, lambda mask: ordered_over(w, count, mask))
+
+    def ordered_over(w: Column, count: Column, low: Column) -> Column:
+        windows = F.transform(
+            F.arrays_zip(*[F.slice(w, k + 1, count).alias(f"w{k}") for k in range(WINDOW)]),
+            lambda z, i: F.xxhash64(*[z[f"w{k}"] for k in range(WINDOW)]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
         )
-    )
-    covered = F.aggregate(
-        "_places",
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n")),
-    )["n"]
+        return _bind(F.sort_array(windows), lambda codes: covered(w, low, codes))
+
+    def covered(w: Column, low: Column, codes: Column) -> Column:
+        last = F.greatest(F.size(codes) - 1, F.lit(0))
+
+        def place(code: Column) -> Column:
+            return code.bitwiseAND(low).cast("int")
+
+        def equal(pair: Column) -> Column:
+            alike = pair["a"].bitwiseOR(low) == pair["b"].bitwiseOR(low)
+            for k in range(WINDOW):
+                alike = alike & (F.get(w, place(pair["a"]) + k) == F.get(w, place(pair["b"]) + k))
+            return alike
+
+        pairs = F.filter(F.arrays_zip(F.slice(codes, 1, last).alias("a"), F.slice(codes, 2, last).alias("b")), equal)
+        places = F.sort_array(F.flatten(F.transform(pairs, lambda p: F.array(place(p["a"]), place(p["b"])))))
+        return F.aggregate(
+            places,
+            F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+            lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n")),
+        )["n"]
+
+    return _bind(text_words, over).cast("long")
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """Columns ``text`` (null: empty) and ``words``, and the statistics that rules read, added to ``docs``.
+
+    n_words, word_chars (code points in words), n_symbols, n_lines (with a word), n_dup_lines (equal to an earlier line) and
+    n_repeat_words (see ``repeat_words``).
+    """
     lines = F.filter(F.split("text", "\n", -1), lambda l: F.length(F.btrim(l, F.lit(" \t\x0b\x0c\r"))) > 0)
     return (
         docs.withColumn("text", F.coalesce("text", F.lit("")))
-        .withColumn("words", words(F.col("text")))
-        .withColumn("n_words", F.size("words").cast("long"))
+        .withColumns({"words": words(F.col("text")), "_lines": lines})
         .withColumns(
             {
-                "_low": F.expr("shiftleft(1L, length(bin(n_words))) - 1"),
-                "_m": F.greatest(n - (WINDOW - 1), F.lit(0)).cast("int"),
-                "_lines": lines,
+                "n_words": F.size("words").cast("long"),
                 "word_chars": F.length(F.regexp_replace("text", SPACE + "+", "")).cast("long"),
                 "n_symbols": _count_of("#*$%&|<>"),
-            }
-        )
-        .withColumns(
-            {
-                "_ordered": F.sort_array(windows),
                 "n_lines": F.size("_lines").cast("long"),
                 "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_repeat_words": repeat_words(F.col("words")),
             }
         )
-        .withColumn("_pairs", F.filter(neighbours, equal))
-        .withColumn("_places", places)
-        .withColumn("n_repeat_words", covered.cast("long"))
-        .drop("_low", "_m", "_lines", "_ordered", "_pairs", "_places")
+        .drop("_lines")
     )
 
 
@@ -202,7 +206,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * n_lines
+            OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
             OR 2 * length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > word_chars
             OR 4 * length(regexp_replace(text, '[^!]+', '', 'g')) > n_words
             OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 6 * n_words) AS kept
