@@ -1,11 +1,13 @@
 """The queries of this subpackage by name, with the SQL that gives the same rows where SQL can express it."""
 
 from attesta.llm.language_id import op3_language_id
+from attesta.llm.mixing import op2_mixing
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
 from attesta.llm.secret_scan import op5_secret_scan
 from attesta.llm.simhash import op7_simhash_near_dedup
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
