@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, with the SQL that gives the same rows where SQL can express it."""
 
+from attesta.llm.byte_bpe import op6_byte_bpe
 from attesta.llm.language_id import op3_language_id
 from attesta.llm.mixing import op2_mixing
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
