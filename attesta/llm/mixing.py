@@ -187,9 +187,10 @@ def _slots(spark, blocks: list[int], n_slots: list[int], shards: int, seed: int)
 
 def pieces(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     """What each row gives to each of its blocks: the columns of ``rows``, block, words from ``at`` (from 0, in the document)
-    to ``to``, and times, how often the mix takes the block."""
-    times = mixed.slots.groupBy("source_ix", "block").agg(F.count("*").alias("times"))
-    each = mixed.rows.where(F.col("size") > 0).withColumn("block", F.explode(F.expr("sequence(first_block, last_block)")))
+    to ``to``, and times, how often the mix takes the block. A row without words gives one piece with a null block."""
+    # a plan can't know how many slots come of the few counts by shard, so that the join is told not to broadcast them
+    times = mixed.slots.groupBy("source_ix", "block").agg(F.count("*").alias("times")).hint("merge")
+    each = mixed.rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr("sequence(first_block, last_block)"))))
     start = F.expr(f"(block - _base) * {block_words} - first_word")
     each = each.withColumns({"at": F.greatest(start, F.lit(0)), "to": F.least(start + block_words, F.col("size"))})
     return each.join(times, ["source_ix", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
@@ -197,19 +198,16 @@ def pieces(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def taken(mixed: Mix) -> DataFrame:
     """Each row once: the columns kept, size, source_size, target and taken, the words that the mix takes from it."""
-    key = ["source_ix", "stream", "place"]
     spark = mixed.rows.sparkSession
-    words_taken = pieces(mixed).groupBy(*key).agg(F.sum((F.col("to") - F.col("at")) * F.col("times")).alias("taken"))
+    inner = ["stream", "place", "first_word", "first_block", "last_block", "_base", "source_ix"]
+    kept = [c for c in mixed.rows.columns if c not in inner]
+    words_taken = F.sum(F.when(F.col("block").isNotNull(), (F.col("to") - F.col("at")) * F.col("times")).otherwise(0))
+    rows = pieces(mixed).groupBy("source_ix", "stream", "place").agg(*[F.first(c).alias(c) for c in kept], words_taken.alias("taken"))
     sources = spark.createDataFrame(
         [(int(r.source_ix), int(r.source_size), float(r.target)) for r in mixed.sources.itertuples()],
         "source_ix int, source_size long, target double",
     )
-    return (
-        mixed.rows.join(words_taken, key, "left")
-        .join(sources, "source_ix", "left")
-        .drop("stream", "place", "first_word", "first_block", "last_block", "_base", "source_ix")
-        .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    )
+    return rows.join(sources, "source_ix", "left").select(*kept, "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def remixed(docs: DataFrame, columns: list[str], text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
