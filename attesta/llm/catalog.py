@@ -3,12 +3,14 @@
 from attesta.llm.byte_bpe import op6_byte_bpe
 from attesta.llm.language_id import op3_language_id
 from attesta.llm.mixing import op2_mixing
+from attesta.llm.quality_mil import op1_quality_mil
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
 from attesta.llm.secret_scan import op5_secret_scan
 from attesta.llm.simhash import op7_simhash_near_dedup
 from attesta.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op1_quality_mil": op1_quality_mil,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
