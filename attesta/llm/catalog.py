@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, with the SQL that gives the same rows where SQL can express it."""
 
+from attesta.llm.ann import op10_ann_cross_polytope
 from attesta.llm.byte_bpe import op6_byte_bpe
 from attesta.llm.language_id import op3_language_id
 from attesta.llm.mixing import op2_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_ann_cross_polytope": op10_ann_cross_polytope,
 }
 ORACLE_SQL: dict = {
     "op8_quality_rules": OP8_SQL,
