@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from functools import lru_cache
 from typing import Iterator
@@ -30,16 +31,21 @@ END_ID = 2
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 128
-#: White-space separated chunks that a worker remembers, and the longest remembered.
+#: Chunks in each of the two generations that a worker remembers, and the longest remembered.
 MEMO = 300_000
 MEMO_BYTES = 64
+#: Combining marks that can join an ASCII letter to one character.
+_MARKS = re.compile("[\u0300-\u036f]")
+#: A stop or comma that ends a word of letters or digits: a token of its own.
+_ENDS_WORD = re.compile(r"[.,](?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)(?=\s|\Z)")
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    The tokenizer must drop white space and never merge across it, as the default one does: then the ids of a text are
-    those of its chunks between ASCII white space, and each distinct chunk is encoded once while a bounded memo holds it.
+    The tokenizer must drop white space, fold case and part words from punctuation, as the default one does: then the ids of
+    a text are those of its chunks between ASCII white space, capitals and the comma after a word make no difference to how
+    the chunk before them is merged, and each distinct chunk is encoded once while a bounded memo holds it.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -48,26 +54,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = memo
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(chunks, found)}
+        texts = [c.decode() for c in chunks]
+        out = {}
+        # chunks of letters are one word each: they go to the tokenizer together and come apart at the ids that end words
+        letters = [t for t in texts if t.isalpha()]
+        if letters:
+            found = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.dtype)
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(stops) == len(letters):  # a letter whose lower case has a mark can make two of a word
+                size, data = self.dtype.itemsize, ids.tobytes()
+                out = {t: data[size * a : size * b] for t, a, b in zip(letters, [0, *stops], stops)}
+        rest = [t for t in texts if t not in out]
+        for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []):
+            out[t] = np.array(e.ids, self.dtype).tobytes()
+        return {c: out[t] for c, t in zip(chunks, texts)}
+
+    def chunks(self, text: str) -> list[bytes]:
+        data = _ENDS_WORD.sub(r" \g<0>", text).encode()
+        # lower-casing first could let a letter join a mark that its capital doesn't join
+        return (data if _MARKS.search(text) else data.lower()).split()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as bytes of ``dtype``."""
-        chunks = (text or "").encode().split()
-        new = [c for c in set(chunks) if c not in self.memo]
-        if not new:
-            return b"".join(map(self.memo.__getitem__, chunks))
-        found = self._encode(new)
-        known = self.memo
-        ids = b"".join([found[c] if c in found else known[c] for c in chunks])
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        self.memo.update((c, i) for c, i in found.items() if len(c) <= MEMO_BYTES)
-        return ids
+        chunks = self.chunks(text or "")
+        young, unknown = self.young, []
+        for c in set(chunks):
+            if c not in young:
+                ids = self.old.get(c)
+                if ids is None:
+                    unknown.append(c)
+                else:
+                    young[c] = ids
+        if unknown:
+            young.update(self._encode(unknown))
+        out = b"".join([young[c] for c in chunks])
+        for c in unknown:
+            if len(c) > MEMO_BYTES:
+                del young[c]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
 
 
 @lru_cache(maxsize=2)
