@@ -8,6 +8,7 @@ from attesta.llm.quality_mil import op1_quality_mil
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
 from attesta.llm.secret_scan import op5_secret_scan
 from attesta.llm.simhash import op7_simhash_near_dedup
+from attesta.llm.substring_dedup import op9_substring_dedup
 from attesta.llm.token_files import op4_token_files
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_ann_cross_polytope": op10_ann_cross_polytope,
 }
 ORACLE_SQL: dict = {
