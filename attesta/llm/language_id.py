@@ -161,6 +161,22 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def labelled(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with ``least_score`` or more, ``lang`` replaced by the prediction.
+
+    Columns stay as they are; repeated rows stay repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t.as_py()) for t in batch.column("text")]
+            at = batch.schema.get_field_index("lang")
+            batch = batch.set_column(at, "lang", pa.array([f[0] for f in found], pa.string()))
+            yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= least_score for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = predict(docs, learn(docs))

@@ -226,6 +226,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     return joined.select(*keep, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
+def redacted(text: Column, spans: Column, put: str) -> Column:
+    """The text with each stretch that spans cover, one or several together, replaced by ``put``."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def joined(acc: Column, s: Column) -> Column:
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        apart = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"])
+        return F.when(apart, F.concat(acc, F.array(one))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+
+    stretches = F.aggregate(spans, none, joined)
+    done = F.aggregate(
+        stretches,
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda acc, s: F.struct(
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(put)).alias("out"), s["end"].alias("at")
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return done
+
+
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(
