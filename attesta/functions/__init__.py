@@ -1 +1 @@
-
+"""Column functions: text cleaning, tokens, similarity, ladders, stable ids."""
