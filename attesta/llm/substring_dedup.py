@@ -8,8 +8,8 @@ removed. Equal texts are merged first. Suffixes are never listed for every word
 2. Groups are told by prefixes of variable length. The first is the anchor's k-gram; a group of one is dropped, as nothing
    in it repeats. The second is the anchor's whole context, all words of all windows around it: members that share it are
    repeats as they stand, and one of them goes on for all.
-3. What is left of a group with several contexts is a subtree: its suffixes, cut at ``WINDOW`` words, in order, with the
-   length of the prefix that neighbours share. A node of depth ``WINDOW`` with two leaves or more is a repeat.
+3. What is left of a group with several contexts is a subtree of its suffixes, cut at ``WINDOW`` words, built from the root
+   down. A node of depth ``WINDOW`` with two leaves or more is a repeat.
 4. A group too large for memory is parted by the longest prefix, ``WINDOW`` words: its leaves are counted where they meet.
 
 Words stand as 64-bit hashes. Texts move once, into a table in buckets of their key, and are read there without a shuffle.
@@ -106,76 +106,103 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for counts[i] places, one after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+def _hash_runs(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each start."""
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out += h[starts + j] * np.uint64(pow(_ODD, j + 1, 1 << 64))
+    return mixed(out)
+
+
 def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around each anchor asked for; for those of large groups, the hash of each window around it instead."""
     for batch in slices(batches):
         w = hashed_words(batch.column("text").to_pylist())
         first = np.cumsum(w.per_text) - w.per_text
-        small = {n: [] for n in ("prefix", "t1", "t2", "a", "words")}
-        large = {n: [] for n in ("prefix", "t1", "t2", "a")}
-        for i, (t1, t2, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "asked")))):
-            for x in asked:
-                h = w.hashes[first[i] + x["a"] : first[i] + x["b"]]
-                if not x["large"]:
-                    for n, v in zip(small, (x["prefix"], t1, t2, x["a"], h.tobytes())):
-                        small[n].append(v)
-                elif len(h) >= WINDOW:
-                    whole = grams(h, WINDOW)[: len(h) - WINDOW + 1]
-                    large["prefix"] += whole.view(np.int64).tolist()
-                    large["a"] += range(x["a"], x["a"] + len(whole))
-                    large["t1"] += [t1] * len(whole)
-                    large["t2"] += [t2] * len(whole)
-        n_small, n_large = len(small["a"]), len(large["a"])
-        yield _columns(
-            prefix=pa.array(small["prefix"] + large["prefix"], pa.int64()),
-            t1=pa.array(small["t1"] + large["t1"], pa.int64()),
-            t2=pa.array(small["t2"] + large["t2"], pa.int32()),
-            a=pa.array(small["a"] + large["a"], pa.int32()),
-            words=pa.array(small["words"] + [None] * n_large, pa.binary()),
-        )
-
-
-def subtree_repeats(members: list[tuple[object, int, np.ndarray]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each member (text, place of its first word there, words), the places of windows that also stand elsewhere.
-
-    The members' suffixes, cut at ``window`` words, are put in order; neighbours that share ``window`` words are leaves of
-    one node of that depth. A place that several members hold is one leaf, told for the first of them.
+        asked = batch.column("asked")
+        text = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+        flat = asked.flatten()
+        prefix, a, b = (flat.field(n).to_numpy() for n in ("prefix", "a", "b"))
+        large = flat.field("large").to_numpy(zero_copy_only=False)
+        t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
+        small = ~large
+        sizes = (b - a)[small].astype(np.int64)
+        around = w.hashes[_ranges((first[text] + a)[small], sizes)]
+        offsets = np.concatenate(([0], np.cumsum(8 * sizes))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(around)])
+        yield _columns(prefix=prefix[small], t1=t1[text[small]], t2=t2[text[small]], a=a[small].astype(np.int32), words=words)
+        n = np.maximum((b - a)[large].astype(np.int64) - WINDOW + 1, 0)
+        places, of = _ranges(a[large].astype(np.int64), n), np.repeat(text[large], n)
+        for at in range(0, len(places), 1 << 17):
+            p, t = places[at : at + (1 << 17)], of[at : at + (1 << 17)]
+            whole = _hash_runs(w.hashes, first[t] + p, WINDOW)
+            yield _columns(
+                prefix=whole.view(np.int64), t1=t1[t], t2=t2[t], a=p.astype(np.int32), words=pa.nulls(len(p), pa.binary())
+            )
+
+
+def subtree_repeats(
+    prefix: np.ndarray, text: np.ndarray, at: np.ndarray, sizes: np.ndarray, words: np.ndarray, window: int = WINDOW, step: int = 5
+) -> tuple[np.ndarray, np.ndarray]:
+    """Members (by index) and places of their windows that also stand elsewhere in the group of their prefix.
+
+    A member is a stretch of ``sizes`` words of ``text`` from place ``at``; all members' words stand in ``words``. The trees
+    of all prefixes are built from the root down: suffixes, cut at ``window`` words, are parted by their next ``step`` words
+    at each node, and a suffix alone at a node goes. What is left at depth ``window`` are the leaves of deep internal nodes.
     """
-    texts: dict[object, int] = {}
-    held = []
-    for i, (text, at, words) in enumerate(members):
-        n = max(0, len(words) - window + 1)
-        held.append(np.stack([np.full(n, texts.setdefault(text, len(texts))), at + np.arange(n), np.full(n, i)], axis=1))
-    leaves = np.concatenate(held)
-    if len(leaves) < 2:
-        return [np.zeros(0, np.int64) for _ in members]
-    suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, window) for _, _, w in members if len(w) >= window])
-    _, one = np.unique(leaves[:, :2], axis=0, return_index=True)
-    leaves, suffixes = leaves[one], np.ascontiguousarray(suffixes[one])
-    order = np.argsort(suffixes.view(f"V{window * suffixes.itemsize}").reshape(-1), kind="stable")
-    shared = (suffixes[order][1:] == suffixes[order][:-1]).all(axis=1)
-    deep = np.zeros(len(leaves), bool)
-    deep[order[1:][shared]] = True
-    deep[order[:-1][shared]] = True
-    told = leaves[deep]
-    told = told[np.lexsort((told[:, 1], told[:, 2]))]
-    return np.split(told[:, 1], np.searchsorted(told[:, 2], np.arange(1, len(members))))
+    counts = np.maximum(sizes - window + 1, 0)
+    member = np.repeat(np.arange(len(sizes)), counts)
+    start = _ranges(np.cumsum(sizes) - sizes, counts)
+    place = _ranges(at, counts)
+    order = np.lexsort((place, text[member], prefix[member]))  # a place that several members hold is one leaf
+    p, t, q = prefix[member][order], text[member][order], place[order]
+    one = order[np.append(True, (p[1:] != p[:-1]) | (t[1:] != t[:-1]) | (q[1:] != q[:-1]))[: len(order)]]
+    member, start, place, node = member[one], start[one], place[one], prefix[member[one]]
+    for depth in range(0, window, step):
+        edge = _hash_runs(words, start + depth, min(step, window - depth))
+        order = np.lexsort((edge, node))
+        new = np.append(True, (node[order][1:] != node[order][:-1]) | (edge[order][1:] != edge[order][:-1]))[: len(order)]
+        number = np.cumsum(new) - 1
+        kept = np.bincount(number, minlength=1)[number] > 1
+        member, start, place, node = member[order][kept], start[order][kept], place[order][kept], number[kept]
+    return member, place
 
 
 def _search_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated words, of members in order of their prefix; a prefix whose members go on waits for the next batch."""
+    waiting: pa.RecordBatch | None = None
     for batch in batches:
-        t1, t2, a, b = [], [], [], []
-        for members in batch.column("members"):
-            rows = members.as_py()
-            group = [((r["t1"], r["t2"]), r["a"], np.frombuffer(r["words"], np.uint64)) for r in rows]
-            for row, places in zip(rows, subtree_repeats(group)):
-                if len(places):
-                    for run in np.split(places, np.flatnonzero(np.diff(places) > WINDOW) + 1):  # that touch or overlap
-                        t1.append(row["t1"])
-                        t2.append(row["t2"])
-                        a.append(int(run[0]))
-                        b.append(int(run[-1]) + WINDOW)
-        yield _columns(t1=pa.array(t1, pa.int64()), t2=pa.array(t2, pa.int32()), a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()))
+        if waiting is not None:
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        prefix = batch.column("prefix").to_numpy()
+        whole = int(np.flatnonzero(prefix != prefix[-1])[-1]) + 1 if (prefix != prefix[-1]).any() else 0
+        waiting = batch.slice(whole)
+        if whole:
+            yield _subtree_ranges(batch.slice(0, whole))
+    if waiting is not None and waiting.num_rows:
+        yield _subtree_ranges(waiting)
+
+
+def _subtree_ranges(batch: pa.RecordBatch) -> pa.RecordBatch:
+    prefix, t1, t2, at = (batch.column(c).to_numpy() for c in ("prefix", "t1", "t2", "a"))
+    held = batch.column("words").to_pylist()
+    sizes = np.array([len(x) // 8 for x in held], np.int64)
+    with np.errstate(over="ignore"):
+        text = mixed(t1.view(np.uint64) + t2.astype(np.int64).view(np.uint64) * np.uint64(_ODD))
+    member, place = subtree_repeats(prefix, text, at.astype(np.int64), sizes, np.frombuffer(b"".join(held), np.uint64))
+    order = np.lexsort((place, member))
+    member, place = member[order], place[order]
+    opens = np.append(True, (member[1:] != member[:-1]) | (np.diff(place) > WINDOW))[: len(place)]  # else they touch or overlap
+    closes = np.append(opens[1:], True)[: len(place)]
+    m = member[opens]
+    return _columns(t1=t1[m], t2=t2[m], a=place[opens].astype(np.int32), b=(place[closes] + WINDOW).astype(np.int32))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +286,8 @@ def repeated_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     free_shuffles(spark)
     subtrees = (
         suffixes.where(F.col("words").isNotNull())
-        .groupBy("prefix")
-        .agg(F.collect_list(F.struct("t1", "t2", "a", "words")).alias("members"))
-        .where(F.size("members") > 1)
-        .select("members")
+        .repartition("prefix")
+        .sortWithinPartitions("prefix")
         .mapInArrow(_search_subtrees, "t1 long, t2 int, a int, b int")
     )
     leaf = F.struct("t1", "t2", "a")
