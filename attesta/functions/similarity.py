@@ -9,6 +9,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     """part / whole as doubles; 0 where the whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole.cast("double"))
@@ -32,12 +37,12 @@ def containment(a: Column, b: Column) -> Column:
 
 def bag_containment(a: Column, b: Column) -> Column:
     """The share of a's tokens, repeats counted, that are in b."""
-    return _ratio(F.size(F.filter(a, lambda t: F.array_contains(b, t))), F.size(a))
+    return bind(b, lambda tokens: _ratio(F.size(F.filter(a, lambda t: F.array_contains(tokens, t))), F.size(a)))
 
 
 def substring_containment(terms: Column, text: Column) -> Column:
     """The share of terms that the text contains as substrings."""
-    return _ratio(F.size(F.filter(terms, lambda t: F.contains(text, t))), F.size(terms))
+    return bind(text, lambda whole: _ratio(F.size(F.filter(terms, lambda t: F.contains(whole, t))), F.size(terms)))
 
 
 def weighted_containment(terms: Column, tokens: Column) -> Column:
@@ -47,8 +52,11 @@ def weighted_containment(terms: Column, tokens: Column) -> Column:
         return F.when(F.length(t) >= 10, F.lit(1.25)).when(F.contains(t, F.lit("-")), F.lit(1.2)).otherwise(F.lit(1.0))
 
     total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + weigh(t))
-    found = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(tokens, t), weigh(t)).otherwise(F.lit(0.0)))
-    return F.when(total <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), found / total))
+
+    def found(held: Column) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(held, t), weigh(t)).otherwise(F.lit(0.0)))
+
+    return F.when(total <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), bind(tokens, found) / total))
 
 
 def inner_product(a: Column, b: Column) -> Column:

@@ -124,8 +124,14 @@ def prior_art_tokens(text: Column | str) -> Column:
     return without(found, PRIOR_ART_STOP_WORDS)
 
 
+def _plain_words(text: Column | str, pattern: str) -> Column:
+    """Whole words, of letters and digits of any script, that are plain ones of a pattern; lower case, distinct."""
+    found = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: w.rlike(f"^{pattern}$")))
+
+
 def manual_tokens(text: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\b[a-zA-Z0-9]{3,}\b"), F.lit(0)))
+    return _plain_words(text, "[a-z0-9]{3,}")
 
 
 def claim_keywords(text: Column | str, most: int = 12) -> Column:
@@ -134,7 +140,7 @@ def claim_keywords(text: Column | str, most: int = 12) -> Column:
 
 
 def letter_words(text: Column | str, least: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(rf"\b[a-zA-Z]{{{least},}}\b"), F.lit(0)))
+    return _plain_words(text, f"[a-z]{{{least},}}")
 
 
 def revision_tokens(text: Column | str) -> Column:

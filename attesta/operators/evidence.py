@@ -101,28 +101,30 @@ def chart_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
 # retrieval ----------------------------------------------------------------------------------------------------------
 
 
-def phrase_score(limitation: Column, passage: Column) -> Column:
-    """The longest run of 4, 3 or 2 words of the limitation, over ten characters, in the passage; its words over five."""
-    out = F.lit(0.0)
-    for n in (2, 3, 4):
-        hit = F.exists(tx.ngrams(tx.words_in(limitation), n), lambda g: (F.length(g) > 10) & F.contains(passage, g))
-        out = F.when(hit, F.lit(n / 5)).otherwise(out)
-    return out
-
-
 def retriever_scores(limitations: DataFrame, passages: DataFrame, provenance: float = 0.3, least: float = 0.15) -> DataFrame:
     """item_id, doc_id, passage, lexical, phrase, context, combined and status of pairs that share a technical term and
-    reach ``least``: .4 lexical, .3 phrase, .2 context, .1 provenance."""
-    left = limitations.select("item_id", F.col("text").alias("l"), tx.technical_terms(F.col("text")).alias("tokens"))
-    right = passages.select("doc_id", "passage", F.col("text").alias("p"), tx.retriever_tokens(F.col("text")).alias("tokens"))
+    reach ``least``: .4 lexical, .3 phrase, .2 context, .1 provenance.
+
+    Phrase: the longest run of 4, 3 or 2 words of the limitation, over ten characters, in the passage; its words over five.
+    """
+    grams = [tx.ngrams(tx.words_in(tx.normalize_strict(F.col("text"))), n) for n in (2, 3, 4)]
+    left = limitations.select(
+        "item_id",
+        tx.technical_terms(F.col("text")).alias("tokens"),
+        *[F.filter(g, lambda x: F.length(x) > 10).alias(f"g{n}") for n, g in zip((2, 3, 4), grams)],
+    )
+    right = passages.select(
+        "doc_id", "passage", tx.normalize_strict(F.col("text")).alias("np"), tx.retriever_tokens(F.col("text")).alias("tokens")
+    )
     pairs = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"])
-    # what scores .15 with a phrase of .8 and full context still needs some shared terms: the rest is left before texts join
     lexical = F.col("shared").cast("double") / F.col("n_left")
-    pairs = pairs.withColumn("lexical", lexical).select("item_id", "doc_id", "passage", "lexical")
-    rows = pairs.join(left.drop("tokens"), "item_id").join(right.drop("tokens"), ["doc_id", "passage"])
-    rows = rows.withColumns({"nl": tx.normalize_strict(F.col("l")), "np": tx.normalize_strict(F.col("p"))})
-    phrase = phrase_score(F.col("nl"), F.col("np"))
-    context = sim.weighted_containment(tx.technical_terms(F.col("l")), tx.retriever_tokens(F.col("p")))
+    pairs = pairs.select("item_id", "doc_id", "passage", lexical.alias("lexical"))
+    # what texts hold is worked out before they meet, once for each text
+    rows = pairs.join(left.withColumnRenamed("tokens", "lt"), "item_id").join(right.withColumnRenamed("tokens", "pt"), ["doc_id", "passage"])
+    phrase = F.lit(0.0)
+    for n in (2, 3, 4):
+        phrase = F.when(F.exists(f"g{n}", lambda g: F.contains(F.col("np"), g)), F.lit(n / 5)).otherwise(phrase)
+    context = sim.weighted_containment(F.col("lt"), F.col("pt"))
     rows = rows.select("item_id", "doc_id", "passage", "lexical", phrase.alias("phrase"), context.alias("context"))
     total = 0.4 * F.col("lexical") + 0.3 * F.col("phrase") + 0.2 * F.col("context") + 0.1 * provenance
     rows = rows.withColumn("combined", F.round(total, 6)).where(F.col("combined") >= least)

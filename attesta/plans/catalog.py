@@ -1,4 +1,2 @@
-"""Every query of the library by name, with the SQL that gives the same rows."""
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from attesta.plans import claim_queries, document_queries, evidence_queries
+from attesta.plans.registry import ORACLE_SQL, QUERIES
