@@ -221,12 +221,15 @@ def remixed(docs: DataFrame, columns: list[str], text: str = "text", n_chars: st
     part = pieces(mixed).where("times > 0").select(*key, F.explode(F.expr("sequence(1, int(times))")).alias("e"), "at", "to")
     parts = part.groupBy(*key, "e").agg(F.sort_array(F.collect_list(F.struct("at", "to"))).alias("parts"))
     whole = F.size("parts").cast("long") > F.col("last_block") - F.col("first_block")
-    all_words = words(F.col(text))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("_words", (p["at"] + 1).cast("int"), (p["to"] - p["at"]).cast("int")))), " ")
+
+    def taken_words(w: Column) -> Column:
+        cut = F.transform("parts", lambda p: F.slice(w, (p["at"] + 1).cast("int"), (p["to"] - p["at"]).cast("int")))
+        return F.array_join(F.flatten(cut), " ")
+
+    some = F.get(F.transform(F.array(words(F.col(text))), taken_words), F.lit(0))  # the words are parted once, not for each part
     out = (
         mixed.rows.join(parts, key, "left")
         .where(F.col("parts").isNotNull() | (F.col("size") == 0))
-        .withColumn("_words", F.when(whole, F.array().cast("array<string>")).otherwise(all_words))
         .withColumn(text, F.when(F.col("parts").isNull() | whole, F.col(text)).otherwise(some))
     )
     if n_chars:
