@@ -23,7 +23,7 @@ def documents_for_claims(scores: DataFrame, claims: DataFrame, claim: str = "cla
     rows = rows.withColumns(
         {
             "coverage": F.round(F.col("n_supported") / F.col("n_limitations"), 6),
-            "average": F.round(F.col("_sum") / F.col("n_limitations"), 6),
+            "average": F.round(F.col("_sum") / F.col("n_limitations"), 8),
             "weakest": weakest,
         }
     )

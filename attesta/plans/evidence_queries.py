@@ -212,7 +212,7 @@ def _claim_sizes(spark, sf_dir):
 _NOVELTY = f"""{_BEST},
 g AS (SELECT claim, doc_id, count(*) FILTER (score >= 0.6) AS n_supported, sum(score) AS s, min(score) AS m, count(*) AS n FROM ds GROUP BY 1, 2),
 h AS (
-  SELECT claim, doc_id, n_supported, n_limitations, round(CAST(n_supported AS DOUBLE) / n_limitations, 6) AS coverage, round(s / n_limitations, 6) AS average, CASE WHEN n < n_limitations THEN 0.0 ELSE m END AS weakest
+  SELECT claim, doc_id, n_supported, n_limitations, round(CAST(n_supported AS DOUBLE) / n_limitations, 6) AS coverage, round(s / n_limitations, 8) AS average, CASE WHEN n < n_limitations THEN 0.0 ELSE m END AS weakest
   FROM g JOIN cl USING (claim)),
 nov AS (SELECT *, CASE WHEN coverage >= 0.9 AND weakest >= 0.6 THEN 'POTENTIAL_ANTICIPATION_REFERENCE' WHEN coverage >= 0.75 THEN 'STRONG_SAME_DOCUMENT_SIGNAL' WHEN coverage >= 0.5 THEN 'PARTIAL_NOVELTY_SIGNAL' ELSE 'NO_STRONG_SAME_DOCUMENT_SIGNAL' END AS status FROM h)"""
 _NOV = "claim, doc_id, n_supported, n_limitations, coverage, average, weakest, status"
@@ -239,8 +239,8 @@ def novelty_gaps(spark, sf_dir):
 
 @query(f"""
 WITH {_BEST},
-b AS (SELECT claim, doc_id, max(score) AS best, coalesce(list(item_id) FILTER (score >= 0.6), []) AS cov FROM ds GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY best DESC, doc_id) AS k FROM b),
+bd AS (SELECT claim, doc_id, max(score) AS best, coalesce(list(item_id) FILTER (score >= 0.6), []) AS cov FROM ds GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY best DESC, doc_id) AS k FROM bd),
 p AS (
   SELECT x.claim, x.doc_id AS doc_a, y.doc_id AS doc_b, n_limitations AS n, x.cov AS a, y.cov AS b FROM r x JOIN r y ON x.claim = y.claim AND x.k < y.k JOIN cl ON cl.claim = x.claim WHERE x.k <= 8 AND y.k <= 8),
 q AS (
@@ -254,8 +254,8 @@ def reference_pairs(spark, sf_dir):
 
 
 @query(f"""
-WITH {_BEST}, b AS (SELECT item_id, max(score) AS best, arg_max(doc_id, score * 1e9 - doc_id) AS ignored FROM ds GROUP BY 1),
-d AS (SELECT item_id, best, (SELECT min(doc_id) FROM ds WHERE ds.item_id = b.item_id AND ds.score = b.best) AS doc_id FROM b)
+WITH {_BEST}, top AS (SELECT item_id, max(score) AS best FROM ds GROUP BY 1),
+d AS (SELECT top.item_id, best, min(doc_id) AS doc_id FROM top JOIN ds ON ds.item_id = top.item_id AND ds.score = top.best GROUP BY 1, 2)
 SELECT item_id, best, doc_id, {sql.ladder('best', [(0.8, 'DISCLOSED'), (0.6, 'SUBSTANTIALLY_DISCLOSED'), (0.4, 'PARTIALLY_DISCLOSED')], 'POTENTIAL_DIFFERENCE')} AS difference FROM d""")
 def feature_differences(spark, sf_dir):
     return findings.feature_differences(_best_scores(spark, sf_dir)).select("item_id", "best", "doc_id", "difference")
