@@ -6,9 +6,9 @@ from attesta.llm.language_id import op3_language_id
 from attesta.llm.mixing import op2_mixing
 from attesta.llm.quality_mil import op1_quality_mil
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
-from attesta.llm.secret_scan import op5_secret_scan
+from attesta.llm.secret_scan import op5_secret_scan, oracle_sql as op5_sql
 from attesta.llm.simhash import op7_simhash_near_dedup
-from attesta.llm.substring_dedup import op9_substring_dedup
+from attesta.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from attesta.llm.token_files import op4_token_files
 
 QUERIES = {
@@ -24,5 +24,7 @@ QUERIES = {
     "op10_ann_cross_polytope": op10_ann_cross_polytope,
 }
 ORACLE_SQL: dict = {
+    "op5_secret_scan": op5_sql(),
     "op8_quality_rules": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }

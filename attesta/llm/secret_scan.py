@@ -273,3 +273,36 @@ def op5_secret_scan(spark, sf_dir) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         _listed(spans, RULES).alias("spans"),
     )
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """SQL for the query's rows: every rule over every text, with positions from what lies between matches."""
+    letters = "password passwd secret token api key".split()
+    folded = {w: "".join(f"[{c}{c.upper()}]" for c in w) for w in letters}
+
+    def pattern(rule: Rule) -> str:
+        p = rule.pattern
+        if p.startswith("(?i:"):
+            inner, rest = p[4:].split("))", 1)
+            for w, f in folded.items():
+                inner = re.sub(rf"(?<![a-z]){w}(?![a-z])", f.replace("\\", ""), inner)
+            p = inner + ")" + rest
+        return p.replace("'", "''")
+
+    parts = []
+    for i, rule in enumerate(rules):
+        p = pattern(rule)
+        parts.append(
+            f"SELECT rid, {i} AS k, '{rule.kind}' AS kind, j, list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS s, "
+            f"length(m[j]) AS n, length(v[j]) AS part, {rule.least} AS least FROM (SELECT rid, m, v, g, unnest(range(1, len(m) + 1)) AS j FROM "
+            f"(SELECT rid, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.group}) AS v, string_split_regex(t, '{p}') AS g FROM d))"
+        )
+    n_base = len(BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (k = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (SELECT rid, k, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM found WHERE part >= least),
+a AS (SELECT rid, {counts}, string_agg(x, ',' ORDER BY s, k) FILTER (k < {n_base}) AS base, string_agg(x, ',' ORDER BY s, k) AS every FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""

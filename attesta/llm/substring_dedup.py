@@ -312,3 +312,16 @@ def op9_substring_dedup(spark, sf_dir) -> DataFrame:
     return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT rid, i, sha256(array_to_string(ws[i : i + 34], ' ')) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM rep)),
+each AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (
+  SELECT e.rid, string_agg(word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM each e LEFT JOIN gone g ON e.rid = g.rid AND e.p = g.p WHERE g.p IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
