@@ -119,8 +119,8 @@ def nearest(
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length isn't the
     most common one (ties: the shorter). Equal rows count once; different vectors under one id are candidates each. Other
-    columns are left out, so theirs may have any name. With fewer than k candidates found, all of them are given; an empty
-    table gives no rows.
+    columns are left out, so theirs may have any name. A query that finds fewer than k gets the exact answer, all candidates if
+    they are fewer; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     valid = usable(vectors, id_col, vector_col)
@@ -142,6 +142,25 @@ def nearest(
 
     hashed = saved(_hashed(index.select("v", "ids"), longest, width, False, tables, 1), "ann-hashed")
     probing = saved(_hashed(distinct.select("v", "q"), longest, width, True, tables, probes), "ann-probing")
+    best = _meet(hashed, probing, k)
+    # a query has an answer from each block that it probed: tables * probes * blocks of at most k + 1 ids each
+    merged = saved(best.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found")), "ann-found")
+    # a query that found fewer than there are to find looks at all entries, block by block
+    there = index.select(F.explode("ids").alias("id")).limit(k + 1).count()
+    short = distinct.join(merged.where(F.size("found") >= there).select("q"), "q", "left_anti")
+    whole = [F.lit(0).alias("t"), F.lit(0).alias("axis")]
+    rest = _meet(index.select(*whole, "v", "ids"), saved(short.select(*whole, "v", "q"), "ann-short"), k)
+    rest = rest.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+    merged = merged.where(F.size("found") >= there).unionByName(rest)
+    one = asked.select("id", "v").distinct().join(distinct, "v").select(F.col("id").alias("query_id"), "q").join(merged, "q")
+    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
+    return one.select("query_id", F.posexplode(others).alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score")
+    )
+
+
+def _meet(hashed: DataFrame, probing: DataFrame, k: int) -> DataFrame:
+    """q and found: the answers of ``_answers`` for queries and entries of one (t, axis), in blocks of bounded size."""
     # a row for each bucket that has both, of which there are tables * 2 * width at most
     n_entries = hashed.groupBy("t", "axis").agg(F.ceil(F.count("*") / ENTRY_BLOCK).cast("int").alias("entry_blocks"))
     n_queries = probing.groupBy("t", "axis").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
@@ -153,18 +172,11 @@ def nearest(
         "t", "axis", F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("eb"), F.pmod(F.xxhash64("q"), "query_blocks").cast("int").alias("qb"), "v", "q"
     )
     group = ["t", "axis", "eb", "qb"]
-    best = (
+    return (
         entry_rows.groupBy(*group)
         .cogroup(query_rows.groupBy(*group))
         .applyInArrow(lambda e, q: _answers(e, q, k), "q long, found array<struct<minus:double,id:long>>")
     )
-    # a query has an answer from each block that it probed: tables * probes * blocks of at most k + 1 ids each
-    merged = best.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
-    one = asked.select("id", "v").distinct().join(distinct, "v").select(F.col("id").alias("query_id"), "q").join(merged, "q")
-    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return one.select("query_id", F.posexplode(others).alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score")
-    )
 
 
 def _hashed(rows: DataFrame, longest: float, width: int, is_query: bool, tables: int, probes: int) -> DataFrame:

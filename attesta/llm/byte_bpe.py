@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers at once.
-MEMO = 300_000
+MEMO = 200_000
 #: Longer pre-tokens are encoded each time.
 MEMO_BYTES = 64
 
