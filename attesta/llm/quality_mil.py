@@ -64,7 +64,8 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(of_byte * kinds + _CLASS[data[in_word]], minlength=n * kinds).reshape(n, kinds)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     out[:, :kinds] = counts / total
-    per = np.maximum(np.bincount(passage, minlength=n), 1)
+    words_in = np.bincount(passage, minlength=n)
+    per = np.maximum(words_in, 1)
     # a hash of each word, from running sums of its bytes times powers of an odd number
     with np.errstate(over="ignore"):
         at = (np.arange(len(data)) - np.repeat(doc_start, sizes)) & 0xFFFF
@@ -89,7 +90,7 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         np.bincount(passage, (last_byte == named["symbol"]) | (last_byte == named["bar"]), n) / per,
         np.bincount(passage, first_byte == named["upper"], n) / per,
         np.bincount(passage, lengths > 20, n) / per,
-        per / PASSAGE_WORDS,
+        words_in / PASSAGE_WORDS,
     )
     out[:, kinds : kinds + 9] = np.stack(extra, axis=1)
     slot = (hashes >> np.uint64(7)) % np.uint64(HASHED)
