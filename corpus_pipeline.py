@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import byte_bpe, language_id, mixing, secret_scan, simhash
+from attesta.llm import byte_bpe, language_id, mixing, secret_scan, shingle_links
 from attesta.llm.common import new_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; of rows with that id, one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """One document of each group of near duplicates, that with the smallest doc_id; of rows with that id, one.
+
+    Near duplicates share four fifths of their five-word shingles, exactly measured, or are linked by such documents.
+    """
+    groups = shingle_links.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = docs.select(COLUMNS).join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return first.dropDuplicates(["doc_id"]).select(COLUMNS)
