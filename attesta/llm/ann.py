@@ -2,8 +2,10 @@
 
 1. Equal vectors are merged: an index entry is a distinct vector with its ids. As an answer has at most k of them, the k + 1
    smallest ids are all that an entry can ever give.
-2. Largest inner product becomes smallest angle: vectors shorter than the longest get one more coordinate that makes up the
-   difference (queries get 0 there), and all are padded with zeros to a power of two.
+2. Largest inner product becomes smallest angle: entries are parted into bands of like length, and those shorter than the
+   longest of their band get one more coordinate that makes up the difference (queries get 0 there); all are padded with
+   zeros to a power of two. Each band has tables of its own, and a query probes those of every band. Where lengths differ, a
+   band of at most ``WHOLE_BAND`` vectors is compared whole: long vectors are few, and answer queries at wide angles too.
 3. Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and
    hashes them to the nearest signed axis. A query probes the ``probes`` axes nearest to it in each table.
 4. Candidates meet queries by (table, axis), in blocks of bounded size on both sides, and are scored exactly on the original
@@ -26,6 +28,9 @@ PROBES = 8
 ENTRY_BLOCK = 1024
 QUERY_BLOCK = 512
 SEED = 10
+#: Lengths of a band differ at most by this factor.
+BAND_RATIO = 1.25
+WHOLE_BAND = 1024
 _SALTS = 16
 
 
@@ -47,7 +52,7 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return x
 
 
-def extended(x: np.ndarray, longest: float, is_query: bool, width: int) -> np.ndarray:
+def extended(x: np.ndarray, longest: float | np.ndarray, is_query: bool, width: int) -> np.ndarray:
     """Vectors as points whose angles order as the inner products do: see 2. above."""
     out = np.zeros((len(x), width))
     out[:, : x.shape[1]] = x
@@ -56,6 +61,12 @@ def extended(x: np.ndarray, longest: float, is_query: bool, width: int) -> np.nd
     return out
 
 
+def band_of(x: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """The number of each row's band: the first whose longest vector (ascending) is not shorter than the row."""
+    lengths = np.sqrt((x**2).sum(axis=1))
+    return np.minimum(np.searchsorted(longest, lengths * (1 - 1e-9)), len(longest) - 1)
+
+
 def axes(x: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` signed axes nearest to each row, nearest first: 2 * i for the i-th axis, 2 * i + 1 for its opposite."""
     both = np.stack([x, -x], axis=2).reshape(len(x), -1)
@@ -132,16 +143,18 @@ def nearest(
     )
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, longest = shape["d"], float(np.sqrt(shape["most"]))
+    d = shape["d"]
     even = shape["most"] - shape["least"] <= 1e-6 * shape["most"]  # then no coordinate has to be added
     width = 1 << max(0, (d if even else d + 1) - 1).bit_length()
     valid = valid.where(F.size("v") == d)
+    bands = [(shape["most"], False)] if even else bands_of(valid)
+    longest, whole_bands = np.sqrt([b[0] for b in bands]), np.array([b[1] for b in bands])
     index = saved(entries(valid, k), "ann-entries")
     asked = valid.where(queries)
     distinct = saved(asked.groupBy("v").agg(F.min("id").alias("q")), "ann-queries")
 
-    hashed = saved(_hashed(index.select("v", "ids"), longest, width, False, tables, 1), "ann-hashed")
-    probing = saved(_hashed(distinct.select("v", "q"), longest, width, True, tables, probes), "ann-probing")
+    hashed = saved(_hashed(index.select("v", "ids"), longest, whole_bands, width, False, tables, 1), "ann-hashed")
+    probing = saved(_hashed(distinct.select("v", "q"), longest, whole_bands, width, True, tables, probes), "ann-probing")
     best = _meet(hashed, probing, k)
     # a query has an answer from each block that it probed: tables * probes * blocks of at most k + 1 ids each
     merged = saved(best.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found")), "ann-found")
@@ -159,6 +172,16 @@ def nearest(
     )
 
 
+def bands_of(valid: DataFrame) -> list[tuple[float, bool]]:
+    """Each band's largest squared length, ascending, and whether it is compared whole.
+
+    There are as many as the lengths' range has powers of ``BAND_RATIO`` at most.
+    """
+    band = F.floor(F.log(_norm2(F.col("v"))) / (2 * np.log(BAND_RATIO)))
+    rows = valid.groupBy(band.alias("band")).agg(F.max(_norm2(F.col("v"))).alias("most"), F.count("*").alias("n")).collect()
+    return sorted((r.most, r.n <= WHOLE_BAND) for r in rows)
+
+
 def _meet(hashed: DataFrame, probing: DataFrame, k: int) -> DataFrame:
     """q and found: the answers of ``_answers`` for queries and entries of one (t, axis), in blocks of bounded size."""
     # a row for each bucket that has both, of which there are tables * 2 * width at most
@@ -179,21 +202,43 @@ def _meet(hashed: DataFrame, probing: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _hashed(rows: DataFrame, longest: float, width: int, is_query: bool, tables: int, probes: int) -> DataFrame:
-    """t, axis and the columns of ``rows`` (v and one more), ``tables * probes`` times."""
+def _hashed(rows: DataFrame, longest: np.ndarray, whole: np.ndarray, width: int, is_query: bool, tables: int, probes: int) -> DataFrame:
+    """t, axis and the columns of ``rows`` (v and one more), ``tables * probes`` times; a query's for each band.
+
+    Band b has the values of t from b * tables. One that is compared whole has the first of them only, and the axis -1.
+    """
     other = rows.columns[1]
     kind = rows.schema[other].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = extended(_matrix(batch.column("v")), longest, is_query, width)
+            x = _matrix(batch.column("v"))
+            own = band_of(x, longest)
+            points = extended(x, longest[own], is_query, width)
+            everyone = np.arange(len(x))
+
+            def part(band, t, axis, at):
+                taken = pa.array(at)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.broadcast_to(np.asarray(band * tables + t, np.int32), len(at))), pa.array(axis.astype(np.int32)), batch.column("v").take(taken), batch.column(other).take(taken)],
+                    names=["t", "axis", "v", other],
+                )
+
+            if is_query:
+                for band in np.flatnonzero(whole):
+                    yield part(band, 0, np.full(len(x), -1), everyone)
+            elif whole.any():
+                at = np.flatnonzero(whole[own])
+                yield part(own[at], 0, np.full(len(at), -1), at)
             for t in range(tables):
                 axis = axes(rotated(points, t), probes)
                 for p in range(axis.shape[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(axis), t, np.int32)), pa.array(axis[:, p].astype(np.int32)), batch.column("v"), batch.column(other)],
-                        names=["t", "axis", "v", other],
-                    )
+                    if is_query:
+                        for band in np.flatnonzero(~whole):
+                            yield part(band, t, axis[:, p], everyone)
+                    else:
+                        at = np.flatnonzero(~whole[own])
+                        yield part(own[at], t, axis[at, p], at)
 
     return rows.mapInArrow(run, f"t int, axis int, v {rows.schema['v'].dataType.simpleString()}, {other} {kind}")
 

@@ -213,6 +213,25 @@ def test_neighbours_of_test_vectors(spark):
     assert all(exact[q][j] == s for q in found for j, s in found[q])
 
 
+@pytest.mark.parametrize("lengths", ["lognormal", "one long"])
+def test_neighbours_of_vectors_of_unequal_length(spark, lengths):
+    rng = np.random.default_rng(9)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
+    scale = rng.lognormal(0, 1, len(rows)) if lengths == "lognormal" else np.where(np.arange(len(rows)) == 7, 20.0, 1.0)
+    rows = [(i, (v * s).tolist()) for (i, v), s in zip(rows, scale)]
+    vectors = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[at]
+        scores[at] = -np.inf
+        hits.append(len(found[int(ids[at])] & set(ids[np.argsort(-scores, kind="stable")[:20]].tolist())) / 20)
+    assert len(hits) == len(found) and np.mean(hits) >= 0.9, np.mean(hits)
+
+
 def test_neighbours_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(8)
     same = [1.0, 2.0, 0.5, -1.0]
