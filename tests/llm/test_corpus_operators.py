@@ -213,6 +213,40 @@ def test_neighbours_of_test_vectors(spark):
     assert all(exact[q][j] == s for q in found for j, s in found[q])
 
 
+def share_and_recall(x, n_queries=60, k=20):
+    """The share of all vectors that share a probed bucket with a query, and how many of the k nearest are among them."""
+    use = ann.layout(len(x), 64)
+    met = np.zeros((n_queries, len(x)), bool)
+    for t in range(ann.TABLES):
+        code = ann.buckets(x, t, use.dims, 1)[:, 0]
+        for q, probed in enumerate(ann.buckets(x[:n_queries], t, use.dims, use.probes)):
+            met[q] |= np.isin(code, probed)
+    true = np.argsort(-(x[:n_queries] @ x.T), axis=1)[:, 1 : k + 1]
+    return met.mean(), np.take_along_axis(met, true, 1).mean()
+
+
+def test_share_of_entries_met_falls_as_they_grow():
+    x = np.random.default_rng(4).normal(size=(32_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    small, large = share_and_recall(x[:2000]), share_and_recall(x)
+    assert small[1] >= 0.9 and large[1] >= 0.9
+    assert large[0] < 0.4 * small[0] and large[0] < 0.2
+
+
+def test_probed_buckets_are_the_nearest_of_all():
+    x = np.random.default_rng(5).normal(size=(20, 8))
+    dims, probes = (8, 4, 2), 30
+    far = np.zeros((20, 1))
+    for i, d in enumerate(dims):
+        turned = ann.rotated(x, 64 * 3 + i)[:, :d]
+        both = np.stack([turned, -turned], axis=2).reshape(20, -1)
+        far = (far[:, :, None] + ((both.max(axis=1, keepdims=True) - both) ** 2)[:, None, :]).reshape(20, -1)
+    found = ann.buckets(x, 3, dims, probes)
+    np.testing.assert_allclose(np.take_along_axis(far, found, 1), np.sort(far, axis=1)[:, :probes])
+    assert all(len(set(r)) == probes for r in found.tolist())
+    assert (ann.buckets(x, 3, dims, 1)[:, 0] == far.argmin(axis=1)).all()
+
+
 @pytest.mark.parametrize("lengths", ["lognormal", "one long"])
 def test_neighbours_of_vectors_of_unequal_length(spark, lengths):
     rng = np.random.default_rng(9)
