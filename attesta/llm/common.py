@@ -34,7 +34,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for frames that no later plan reads."""
+    for df in frames:
+        remove(df.sparkSession, df.saved_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

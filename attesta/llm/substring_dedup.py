@@ -12,7 +12,8 @@ removed. Equal texts are merged first. Suffixes are never listed for every word
    down. A node of depth ``WINDOW`` with two leaves or more is a repeat.
 4. A group too large for memory is parted by the longest prefix, ``WINDOW`` words: its leaves are counted where they meet.
 
-Words stand as 64-bit hashes. Texts move once, into a table in buckets of their key, and are read there without a shuffle.
+Words stand as 64-bit hashes, and stretches of words are taken as equal where two hashes of 64 bits are: of the prefix and
+of what follows it, or of a whole window by two multipliers. Texts move once, into a table in buckets of their key, and are read there without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import free_shuffles, new_dir, saved
+from attesta.llm.common import forget, free_shuffles, new_dir, remove, saved
 from attesta.llm.word_arrays import Words, hashed_words, mixed, slices
 
 WINDOW = 35
@@ -33,6 +34,9 @@ GRAM = 8
 #: Members of a group whose subtree is built in one task.
 GROUP = 2000
 _ODD = 0x9FB21C651E98DF25
+_OTHER_ODD = 0xA0761D6478BD642F
+#: A key with more than this share of all rows has its rows where they are; there are at most as many such keys.
+HOT_KEYS = 1024
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -112,12 +116,12 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
-def _hash_runs(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+def _hash_runs(h: np.ndarray, starts: np.ndarray, n: int, odd: int = _ODD) -> np.ndarray:
     """A hash of the n words from each start."""
     out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            out += h[starts + j] * np.uint64(pow(_ODD, j + 1, 1 << 64))
+            out += h[starts + j] * np.uint64(pow(odd, j + 1, 1 << 64))
     return mixed(out)
 
 
@@ -137,14 +141,16 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         around = w.hashes[_ranges((first[text] + a)[small], sizes)]
         offsets = np.concatenate(([0], np.cumsum(8 * sizes))).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(around)])
-        yield _columns(prefix=prefix[small], t1=t1[text[small]], t2=t2[text[small]], a=a[small].astype(np.int32), words=words)
+        yield _columns(
+            prefix=prefix[small], other=np.zeros(len(sizes), np.int64), t1=t1[text[small]], t2=t2[text[small]], a=a[small].astype(np.int32), words=words
+        )
         n = np.maximum((b - a)[large].astype(np.int64) - WINDOW + 1, 0)
         places, of = _ranges(a[large].astype(np.int64), n), np.repeat(text[large], n)
         for at in range(0, len(places), 1 << 17):
             p, t = places[at : at + (1 << 17)], of[at : at + (1 << 17)]
-            whole = _hash_runs(w.hashes, first[t] + p, WINDOW)
+            whole, other = (_hash_runs(w.hashes, first[t] + p, WINDOW, odd) for odd in (_ODD, _OTHER_ODD))
             yield _columns(
-                prefix=whole.view(np.int64), t1=t1[t], t2=t2[t], a=p.astype(np.int32), words=pa.nulls(len(p), pa.binary())
+                prefix=whole.view(np.int64), other=other.view(np.int64), t1=t1[t], t2=t2[t], a=p.astype(np.int32), words=pa.nulls(len(p), pa.binary())
             )
 
 
@@ -230,6 +236,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _in(rows: DataFrame, keys: list[str], table: DataFrame, spread: list[str]) -> DataFrame:
+    """The rows whose keys ``table`` (a saved frame of the keys and n, the rows of each) has, and its n.
+
+    Keys that hold more than their share of the rows are told to all tasks, ``HOT_KEYS`` at most, and their rows move as
+    ``spread`` deals them, so that no task gets a third of all rows for one key.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") > total / HOT_KEYS).select(*keys, F.col("n").alias("_hot"))
+    flagged = rows.join(F.broadcast(hot), keys, "left")
+    flagged = flagged.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.xxhash64(*spread)).otherwise(F.col(keys[0])))
+    known = table.select(F.col(keys[0]).alias("_key"), *keys[1:], F.col("n").alias("_n"))
+    found = flagged.join(known, ["_key", *keys[1:]], "left").withColumn("n", F.coalesce("_hot", "_n"))
+    return found.where(F.col("n").isNotNull()).drop("_key", "_hot", "_n")
+
+
 def repeated_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (ranges of words, from 0, the end exclusive) of every row.
 
@@ -241,12 +262,12 @@ def repeated_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"attesta_texts_{uuid.uuid4().hex}"
+    name, folder = f"attesta_texts_{uuid.uuid4().hex}", new_dir(spark, "texts")
     (
         keyed.groupBy("t1", "t2")
         .agg(F.first("text").alias("text"), F.count("*").alias("copies"))
         .write.bucketBy(buckets, "t1", "t2")
-        .option("path", new_dir(spark, "texts"))
+        .option("path", folder)
         .format("parquet")
         .saveAsTable(name)
     )
@@ -254,46 +275,46 @@ def repeated_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     texts = spark.table(name)
 
     prefixes = texts.select("text").mapInArrow(_find_prefixes, "prefix long")
-    again = saved(prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "prefixes")
+    again = saved(prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
     free_shuffles(spark)
     found = texts.select("t1", "t2", "text").mapInArrow(
         _find_anchors, "prefix long, context long, t1 long, t2 int, pos int, a int, b int"
     )
-    found = saved(found.join(again, "prefix", "left_semi"), "anchors")
+    found = saved(_in(found, ["prefix"], again, ["t1", "pos"]).drop("n"), "anchors")
+    forget(again)
     free_shuffles(spark)
 
     member = F.struct("t1", "t2", "a", "b")
     by_context = saved(found.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(member).alias("one")), "contexts")
-    whole = (
-        found.join(by_context.where("n > 1").select("prefix", "context"), ["prefix", "context"], "left_semi")
-        .where(F.col("b") - F.col("a") >= WINDOW)
-        .select("t1", "t2", "a", "b")
-    )
-    several = by_context.groupBy("prefix").agg(F.count("*").alias("members")).where("members > 1")
+    repeated = saved(by_context.where("n > 1").select("prefix", "context", "n"), "contexts")
+    whole = _in(found.where(F.col("b") - F.col("a") >= WINDOW), ["prefix", "context"], repeated, ["t1", "pos"]).select("t1", "t2", "a", "b")
+    several = saved(by_context.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "members")
+    one = by_context.select("prefix", "one").where(F.col("one.b") - F.col("one.a") >= WINDOW)
     asked = (
-        by_context.join(several, "prefix")
-        .where(F.col("one.b") - F.col("one.a") >= WINDOW)
-        .select("one.t1", "one.t2", F.struct("prefix", "one.a", "one.b", (F.col("members") > group).alias("large")).alias("x"))
+        _in(one, ["prefix"], several, ["one.t1", "one.a"])
+        .select("one.t1", "one.t2", F.struct("prefix", "one.a", "one.b", (F.col("n") > group).alias("large")).alias("x"))
         .groupBy("t1", "t2")
         .agg(F.collect_list("x").alias("asked"))
     )
     suffixes = saved(
         texts.select("t1", "t2", "text")
         .join(asked, ["t1", "t2"])
-        .mapInArrow(_find_suffixes, "prefix long, t1 long, t2 int, a int, words binary"),
+        .mapInArrow(_find_suffixes, "prefix long, other long, t1 long, t2 int, a int, words binary"),
         "suffixes",
     )
     free_shuffles(spark)
     subtrees = (
         suffixes.where(F.col("words").isNotNull())
+        .drop("other")
         .repartition("prefix")
         .sortWithinPartitions("prefix")
         .mapInArrow(_search_subtrees, "t1 long, t2 int, a int, b int")
     )
     leaf = F.struct("t1", "t2", "a")
-    leaves = suffixes.where(F.col("words").isNull()).select("prefix", "t1", "t2", "a")
-    nodes = leaves.groupBy("prefix").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x != y").select("prefix")
-    counted = leaves.join(nodes, "prefix", "left_semi").select("t1", "t2", "a", (F.col("a") + WINDOW).alias("b"))
+    leaves = suffixes.where(F.col("words").isNull()).select("prefix", "other", "t1", "t2", "a")
+    nodes = leaves.groupBy("prefix", "other").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y"), F.count("*").alias("n"))
+    nodes = saved(nodes.where("x != y").select("prefix", "other", "n"), "nodes")
+    counted = _in(leaves, ["prefix", "other"], nodes, ["t1", "a"]).select("t1", "t2", "a", (F.col("a") + WINDOW).alias("b"))
     ranges = saved(
         whole.union(subtrees).union(counted).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges"
     )
@@ -305,10 +326,13 @@ def repeated_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
         "results",
     )
     spark.sql(f"DROP TABLE {name}")
+    remove(spark, folder)
+    forget(found, by_context, repeated, several, suffixes, nodes, ranges)
     return keyed.select("doc_id", "t1", "t2").join(results, ["t1", "t2"]).drop("t1", "t2")
 
 
 def op9_substring_dedup(spark, sf_dir) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; see ``repeated_substrings`` for nulls and short texts."""
     return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )

@@ -8,13 +8,18 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _ODD = 0xD6E8FEB86659FD93
 
 
+#: Words of more bytes are hashed by XXH3: long strings can be made that a polynomial modulo 2**64 takes for equal.
+LONG_WORD = 256
+
+
 def _powers() -> np.ndarray:
-    out = np.full(1 << 16, _ODD, np.uint64)
+    out = np.full(LONG_WORD + 1, _ODD, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(out)
@@ -56,10 +61,12 @@ def hashed_words(texts: list[str | None]) -> Words:
     hashes = np.zeros(0, np.uint64)
     if len(begins):
         first = np.cumsum(lengths) - lengths
-        place = (np.arange(int(lengths.sum())) - np.repeat(first, lengths)) & 0xFFFF
+        place = np.minimum(np.arange(int(lengths.sum())) - np.repeat(first, lengths), LONG_WORD)
         with np.errstate(over="ignore"):
             terms = (data[~space].astype(np.uint64) + np.uint64(1)) * _POWER[place]
             hashes = mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]].tobytes())
     last = np.cumsum(per_text)
     return Words(hashes, per_text, text, (last - per_text)[text], last[text])
 
