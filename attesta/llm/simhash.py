@@ -23,7 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from attesta.llm.common import free_shuffles, saved
+from attesta.llm.common import forget, free_shuffles, saved
+from attesta.llm.word_arrays import slices
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     """doc_id and fp, the fingerprint as a signed long, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column("text")), "<u8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
 
@@ -72,22 +73,21 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = np.asarray(values, np.uint64)
-        n = len(self.values)
-        #: children[node, d]: the child at distance d of the node, or -1.
-        self.children = np.full((n, 65), -1, np.int32)
-        waiting = np.arange(1, n)
+        waiting = np.arange(1, len(self.values))
         parent = np.zeros(len(waiting), np.int64)
+        edges, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(waiting):
             d = np.bitwise_count(self.values[waiting] ^ self.values[parent]).astype(np.int64)
-            free = self.children[parent, d] < 0
-            # of those that find the same empty edge, the first in order takes it
-            slot = parent[free] * 65 + d[free]
-            taken, first = np.unique(slot, return_index=True)
-            new = waiting[free][first]
-            self.children.reshape(-1)[taken] = new
-            parent = self.children[parent, d].astype(np.int64)
+            # all that come to a node come at one time: of those at one distance the first is the child, the others go on to it
+            taken, first, which = np.unique(parent * 65 + d, return_index=True, return_inverse=True)
+            edges.append(taken)
+            children.append(waiting[first])
+            parent = waiting[first][which]
             rest = parent != waiting
             waiting, parent = waiting[rest], parent[rest]
+        #: Edges as 65 * parent + distance, ascending, and their children: 16 bytes for each value, however few edges it has.
+        order = np.argsort(np.concatenate(edges))
+        self.edges, self.children = np.concatenate(edges)[order], np.concatenate(children)[order]
 
     def within(self, queries: np.ndarray, radius: int, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of pairs (index of the query, node) at most ``radius`` apart."""
@@ -100,14 +100,10 @@ class BKTree:
                 hit = d <= radius
                 if hit.any():
                     yield q[hit], node[hit]
-                next_q, next_node = [], []
-                for step in range(-radius, radius + 1):
-                    edge = d + step
-                    ok = (edge > 0) & (edge <= 64)
-                    child = np.where(ok, self.children[node, np.clip(edge, 0, 64)], -1)
-                    next_q.append(q[child >= 0])
-                    next_node.append(child[child >= 0].astype(np.int64))
-                q, node = np.concatenate(next_q), np.concatenate(next_node)
+                low = np.searchsorted(self.edges, 65 * node + np.maximum(d - radius, 1), "left")
+                n = np.searchsorted(self.edges, 65 * node + np.minimum(d + radius, 64), "right") - low
+                q = np.repeat(q, n)
+                node = self.children[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
 def shard_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -160,10 +156,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for every node that an edge (src, dst) touches.
 
-    Alternating large and small stars; each round's edges are written to the shared folder. Numbers compare as signed.
+    Alternating large and small stars until nothing changes, which takes rounds as the logarithm of the longest path does;
+    each round's edges are written to the shared folder. Numbers compare as signed.
     """
     edges = saved(
         edges.where(F.col("src") != F.col("dst"))
@@ -172,20 +169,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         "edges",
     )
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        last, edges = edges, saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(last)
+        # edges are distinct: equal counts and sums of two 64-bit hashes mean equal sets, but for a chance of 2 ** -128
+        sums = [F.sum(F.xxhash64("u", "v", F.lit(i)).cast("decimal(20,0)")) for i in range(2)]
+        now = edges.agg(F.count("*"), *sums).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"the components have not settled in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
@@ -212,4 +210,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 
 def op7_simhash_near_dedup(spark, sf_dir) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; see ``near_duplicates`` for nulls, ties and repeated rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
