@@ -1,12 +1,15 @@
 """Mixing sources to target weights.
 
-1. Each source's words are packed into streams of fixed-length blocks. A source has ``STREAMS`` streams, so that no task
-   lays out a whole source; a stream's last block may be shorter. Blocks are numbered through the source.
+1. Each source's words are packed into streams of fixed-length blocks. There is a stream for every ``STREAM_ROWS`` documents,
+   so that no task lays out a whole source; a stream's last block may be shorter. Blocks are numbered through the source.
 2. Targets: weights share all words; a target stops at ``MOST`` times its source's size, and the excess is shared again.
 3. The mix has as many slots for a source as blocks make up its target. Slots are dealt to output shards: each shard's
    counts by source are a multinomial draw, with what is left to deal as the probabilities.
 4. A source's k-th slot is in epoch k // blocks and takes the block that the epoch's pseudorandom permutation of the
-   source's block numbers gives for k % blocks. Slots join blocks by number.
+   source's block numbers gives for k % blocks. Slots are laid out in ranges of at most ``RANGE`` by as many tasks as their
+   number calls for, and join blocks by number.
+
+The driver holds a row for each source, and the counts of shards by source: ``CELLS`` numbers at most, or one shard.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attesta.llm.common import SPACE, words
+from attesta.llm.common import SPACE, saved, words
 
 BLOCK_WORDS = 32
-STREAMS = 256
-SHARDS = 256
+#: Documents of all sources that a stream number stands for, about.
+STREAM_ROWS = 4_000
+#: Slots of an output shard, about, and the most numbers that are dealt on the driver.
+SHARD_SLOTS = 1 << 14
+CELLS = 1 << 22
+#: Slots of a range, and of a task, about.
+RANGE = 1 << 14
+TASK_SLOTS = 1 << 17
 MOST = 3
 SEED = 20
-#: Sources are counted on the driver; more than this many is an error.
-MOST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -54,7 +61,10 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Frac
 
 
 def deal(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """Slots of each source (column) in each shard (row): multinomial draws that end with each source's slots all dealt."""
+    """Slots of each source (column) in each shard (row): multinomial draws that end with each source's slots all dealt.
+
+    Works on the driver, in time and memory as shards times sources.
+    """
     rng = np.random.default_rng(seed)
     left = np.array(slots, np.int64)
     out = np.zeros((shards, len(slots)), np.int64)
@@ -106,32 +116,27 @@ def mix(
     keep: tuple[str, ...] = ("doc_id",),
     weights: tuple[int, ...] = (1, 2, 3),
     block_words: int = BLOCK_WORDS,
-    streams: int = STREAMS,
-    shards: int = SHARDS,
+    streams: int | None = None,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> Mix:
     """Plan a mix of documents (doc_id, text, source). Sources by code point, null last, weigh ``weights`` in turn.
 
     Columns that aren't in ``keep`` are left out, so theirs may have any name. Documents without words have no blocks and
-    are never taken. Repeated rows and repeated ids are documents of their own. Without words there are no slots.
+    are never taken. Repeated rows and repeated ids are documents of their own: what puts rows in order within a stream is
+    their id, their size and a hash of their text. Without words there are no slots.
     """
     spark = docs.sparkSession
     base = docs.select(*keep, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    base = base.withColumn("stream", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(streams)).cast("int"))
-    # a stream's size gives its number of blocks: as many rows as streams
-    by_stream = base.groupBy("_source", "stream").agg(F.sum("size").alias("size")).limit(MOST_SOURCES * streams + 1).toPandas()
-    names = sorted({s for s in by_stream["_source"] if s is not None}, key=lambda s: s.encode())
-    names += [None] * bool(by_stream["_source"].isna().any())
-    if len(names) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    place = {s: i for i, s in enumerate(names)}
-    by_stream["source_ix"] = [place[s if isinstance(s, str) else None] for s in by_stream["_source"]]
-    by_stream = by_stream.sort_values(["source_ix", "stream"]).reset_index(drop=True)
-    by_stream["blocks"] = -(-by_stream["size"].astype("int64") // block_words)
-    by_stream["base"] = by_stream.groupby("source_ix")["blocks"].cumsum() - by_stream["blocks"]
-    totals = by_stream.groupby("source_ix")[["size", "blocks"]].sum()
-    sizes = [int(totals["size"].get(i, 0)) for i in range(len(names))]
-    blocks = [int(totals["blocks"].get(i, 0)) for i in range(len(names))]
+    streams = streams or max(1, docs.count() // STREAM_ROWS)
+    base = base.withColumn("stream", F.pmod(F.xxhash64(F.col("_id").cast("string"), "_hash"), F.lit(streams)).cast("int"))
+    by_stream = saved(
+        base.groupBy("_source", "stream").agg(F.sum("size").alias("size")).withColumn("blocks", F.expr(f"(size + {block_words - 1}) div {block_words}")),
+        "mix-streams",
+    )
+    totals = {r._source: r for r in by_stream.groupBy("_source").agg(F.sum("size").alias("size"), F.sum("blocks").alias("blocks")).collect()}
+    names = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [None] * (None in totals)
+    sizes, blocks = [int(totals[s]["size"]) for s in names], [int(totals[s]["blocks"]) for s in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
     n_slots = [min(MOST * b, round(t * b / s)) if s else 0 for t, b, s in zip(goal, blocks, sizes)]
     sources = pd.DataFrame(
@@ -144,26 +149,38 @@ def mix(
             "slots": pd.Series(n_slots, dtype="int64"),
         }
     )
-    streams_df = spark.createDataFrame(
-        [(int(r.source_ix), names[r.source_ix], int(r.stream), int(r.base)) for r in by_stream.itertuples()],
-        "source_ix int, _s string, _b int, _base long",
-    )
-    within = Window.partitionBy("_source", "stream").orderBy("_id", "size", "_hash")
-    placed = base.withColumns(
-        {
-            "place": F.row_number().over(within),
-            "first_word": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
-        }
-    )
+    places = spark.createDataFrame(list(enumerate(names)), "source_ix int, _name string")
+
+    def placed_in(rows: DataFrame) -> DataFrame:
+        return rows.join(places, F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
+
+    earlier = Window.partitionBy("source_ix").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed_in(by_stream).select("source_ix", "stream", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)).cast("long").alias("_base"))
+    within = Window.partitionBy("source_ix", "stream").orderBy("_id", "size", "_hash")
     rows = (
-        placed.join(streams_df, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("stream") == F.col("_b")), "left")
+        placed_in(base)
+        .withColumns(
+            {
+                "place": F.row_number().over(within),
+                "first_word": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
+            }
+        )
+        .join(bases, ["source_ix", "stream"])
         .withColumn("first_block", F.expr(f"_base + first_word div {block_words}"))
         .withColumn("last_block", F.expr(f"_base + (first_word + size - 1) div {block_words}"))
-        .drop("_source", "_s", "_b", "_id", "_hash")
+        .drop("_id", "_hash")
     )
+    shards = shards or max(1, min(sum(n_slots) // SHARD_SLOTS, CELLS // max(1, len(names))))
     return Mix(sources, rows, _slots(spark, blocks, n_slots, shards, seed))
 
 
+def block_of(source: np.ndarray, slot: np.ndarray, blocks: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The block that each slot takes of its source, which has so many blocks."""
+    with np.errstate(over="ignore"):
+        key = (source.astype(np.int64) << 20) + slot // blocks + (seed << 40)
+        return permuted(slot % blocks, blocks, key * 0x5851F42D4C957F2D)
+
+
 def _slots(spark, blocks: list[int], n_slots: list[int], shards: int, seed: int) -> DataFrame:
     dealt = deal(n_slots, shards, seed)
     first = np.cumsum(dealt, axis=0) - dealt
@@ -172,17 +189,14 @@ def _slots(spark, blocks: list[int], n_slots: list[int], shards: int, seed: int)
     ]
 
     @F.pandas_udf("long")
-    def block_of(source: pd.Series, slot: pd.Series, n: pd.Series) -> pd.Series:
-        k, size = slot.to_numpy(np.int64), n.to_numpy(np.int64)
-        key = (source.to_numpy(np.int64) << 20) + k // size + (seed << 40)
-        return pd.Series(permuted(k % size, size, key * 0x5851F42D4C957F2D))
+    def taken_block(source: pd.Series, slot: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(block_of(source.to_numpy(np.int64), slot.to_numpy(np.int64), n.to_numpy(np.int64), seed))
 
     counts = spark.createDataFrame(rows, "shard int, source_ix int, first long, n long, blocks long")
-    return (
-        counts.repartition("shard")
-        .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
-        .select("shard", "source_ix", "slot", block_of("source_ix", "slot", "blocks").alias("block"))
-    )
+    tasks = max(1, -(-sum(n_slots) // TASK_SLOTS))  # a number given here is not merged by adaptive execution
+    ranges = counts.withColumn("r", F.explode(F.expr(f"sequence(0L, (n - 1) div {RANGE})"))).repartition(tasks, "shard", "source_ix", "r")
+    slot = F.explode(F.expr(f"sequence(first + r * {RANGE}, first + least(n, (r + 1) * {RANGE}) - 1)"))
+    return ranges.withColumn("slot", slot).select("shard", "source_ix", "slot", taken_block("source_ix", "slot", "blocks").alias("block"))
 
 
 def pieces(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -238,6 +252,7 @@ def remixed(docs: DataFrame, columns: list[str], text: str = "text", n_chars: st
 
 
 def op2_mixing(spark, sf_dir) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; see ``mix`` for nulls, ties and repeated rows."""
     return taken(mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
