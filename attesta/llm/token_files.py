@@ -10,6 +10,7 @@ shard's last sequence is padded). Mapped into memory, any sequence is a slice: n
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -40,19 +41,37 @@ _MARKS = re.compile("[\u0300-\u036f]")
 _ENDS_WORD = re.compile(r"[.,](?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)(?=\s|\Z)")
 
 
+def _parts_into_chunks(told: dict) -> bool:
+    """Whether a tokenizer, told as its JSON, is of the kind that the memo of chunks is right for."""
+    normalizer, pre, model = told["normalizer"] or {}, told["pre_tokenizer"] or {}, told["model"]
+    steps = [n["type"] for n in normalizer.get("normalizers", [])]
+    splits = [s for s in pre.get("pretokenizers", []) if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and len(splits) == 1
+        and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in str(splits[0]["pattern"].get("Regex"))
+        and model["type"] == "BPE"
+        and model["end_of_word_suffix"] == "</w>"
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])
+    )
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    The tokenizer must drop white space, fold case and part words from punctuation, as the default one does: then the ids of
+    Where the tokenizer drops white space, folds case and parts words from punctuation, as the default one does, the ids of
     a text are those of its chunks between ASCII white space, capitals and the comma after a word make no difference to how
-    the chunk before them is merged, and each distinct chunk is encoded once while a bounded memo holds it.
+    the chunk before them is merged, and each distinct chunk is encoded once while a bounded memo holds it. Texts that hold
+    a special token's string, and all texts for any other tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in told["added_tokens"]]
+        self.by_chunks = _parts_into_chunks(told)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,6 +104,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as bytes of ``dtype``."""
+        if text and (not self.by_chunks or any(s in text for s in self.special)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         chunks = self.chunks(text or "")
         young, unknown = self.young, []
         for c in set(chunks):
@@ -173,6 +194,13 @@ class _ShardWriter:
         self.waiting = [ids[whole:].tobytes()]
         self.n_waiting = len(ids) - whole
 
+    def abandon(self) -> None:
+        """Delete what a failed attempt has written."""
+        for stream in (self.out, self.doc_out):
+            stream.close()
+        for kind in ("tokens", "documents"):
+            self.fs.delete_file(self._name(kind) + self.attempt)
+
     def close(self) -> None:
         self._flush(last=True)
         for stream in (self.tokens, self.docs, self.out, self.doc_out):
@@ -202,10 +230,15 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, use, out = TaskContext.get().partitionId(), encoder(path), None
         end = np.array([end_id], use.dtype).tobytes()
-        for whole in batches:
-            for part in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
-                out = out or _ShardWriter(folder, shard, use.dtype, arrow_id, sequence, batch)
-                out.add(part.column("doc_id").cast(arrow_id), [use.encode(t.as_py()) + end for t in part.column("text")])
+        try:
+            for whole in batches:
+                for part in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                    out = out or _ShardWriter(folder, shard, use.dtype, arrow_id, sequence, batch)
+                    out.add(part.column("doc_id").cast(arrow_id), [use.encode(t.as_py()) + end for t in part.column("text")])
+        except BaseException:
+            if out:
+                out.abandon()
+            raise
         if out:
             out.close()
             told = (shard, out.n_docs, out.n_tokens, out.n_sequences, use.dtype.itemsize)
@@ -292,6 +325,7 @@ def read_documents(spark, folder: str, id_type: T.DataType = T.LongType()) -> Da
 
 
 def op4_token_files(spark, sf_dir) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; see ``write`` for nulls and repeated ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = new_dir(spark, "tokens")
     write(docs, folder)
