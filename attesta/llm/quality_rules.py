@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade. DataFrame functions only.
 
-Every rule is measured on a bounded sample: its cost (seconds to evaluate it there) and its selectivity (the share of the
-sample that it rejects). Rules then run in order of rejection per cost, and a document is done with at the first rule that
+Every rule is measured on a bounded sample: its cost (seconds to evaluate it there) and its selectivity (the share that it
+rejects of what earlier rules leave). Rules then run in order of rejection per cost, and a document is done with at the first rule that
 rejects it. The order changes what is evaluated, never the verdict: a document is kept if no rule rejects it.
 """
 
@@ -13,10 +13,12 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.llm.common import SPACE, saved, words
+from attesta.llm.common import SPACE, forget, saved, words
 
-#: Documents in the sample that costs and selectivities are taken from, about.
-SAMPLE_ROWS = 400
+#: Documents in the sample that costs and selectivities are taken from: about as many, twice as many at most.
+SAMPLE_ROWS = 800
+#: Runs of each rule over the sample; the shortest counts.
+RUNS = 3
 WINDOW = 3
 
 
@@ -57,7 +59,8 @@ def repeat_words(text_words: Column) -> Column:
     """Words in windows of three that stand twice or more in the text, the first included.
 
     Each window becomes one long: a hash in the high bits, and its place in as many low bits as the number of words needs.
-    Sorted, equal windows are neighbours; that they are equal is then told by their words.
+    Sorted, equal windows are neighbours; that they are equal is then told by their words. Where neighbours share the bits of
+    the hash but not the words, the text's windows are sorted by their words instead.
     """
 
     def over(w: Column) -> Column:
@@ -84,8 +87,26 @@ def repeat_words(text_words: Column) -> Column:
                 alike = alike & (F.get(w, place(pair["a"]) + k) == F.get(w, place(pair["b"]) + k))
             return alike
 
-        pairs = F.filter(F.arrays_zip(F.slice(codes, 1, last).alias("a"), F.slice(codes, 2, last).alias("b")), equal)
-        places = F.sort_array(F.flatten(F.transform(pairs, lambda p: F.array(place(p["a"]), place(p["b"])))))
+        def clash(pair: Column) -> Column:
+            return (pair["a"].bitwiseOR(low) == pair["b"].bitwiseOR(low)) & ~equal(pair)
+
+        neighbours = F.arrays_zip(F.slice(codes, 1, last).alias("a"), F.slice(codes, 2, last).alias("b"))
+        found = F.flatten(F.transform(F.filter(neighbours, equal), lambda p: F.array(place(p["a"]), place(p["b"]))))
+        # windows that share what is left of a hash could stand between equal ones: then the words themselves are sorted
+        return _bind(F.sort_array(F.when(F.exists(neighbours, clash), by_words(w)).otherwise(found)), length)
+
+    def by_words(w: Column) -> Column:
+        count = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
+        each = F.arrays_zip(*[F.slice(w, k + 1, count).alias(f"w{k}") for k in range(WINDOW)])
+        rows = F.transform(each, lambda z, i: F.struct(F.struct(*[z[f"w{k}"] for k in range(WINDOW)]).alias("w"), i.alias("i")))
+
+        def alike(ordered: Column) -> Column:
+            pairs = F.arrays_zip(F.slice(ordered, 1, F.greatest(count - 1, F.lit(0))).alias("a"), F.slice(ordered, 2, F.greatest(count - 1, F.lit(0))).alias("b"))
+            return F.flatten(F.transform(F.filter(pairs, lambda p: p["a"]["w"] == p["b"]["w"]), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
+
+        return _bind(F.sort_array(rows), alike)
+
+    def length(places: Column) -> Column:
         return F.aggregate(
             places,
             F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -131,25 +152,44 @@ class Measured:
 
 
 def measure(docs: DataFrame, rules: tuple[QualityRule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Cost and selectivity of each rule on a sample of about ``rows`` documents, the best rejection per cost first.
+    """Cost and selectivity of each rule on a sample of about ``rows`` documents, in the order to run them.
 
-    The sample is drawn by a hash of the text. A rule's cost is the time of a run over the sample after a first run that
-    compiles it. With no sample, rules stay as they are.
+    The sample is drawn by a hash of all columns that ``docs`` has of doc_id and text, and has at most twice ``rows``. A
+    rule's cost is the shortest of ``RUNS`` runs over the sample, less that of a run without a rule. The order is greedy: the
+    best rejection per cost comes first, and the next is chosen by what it rejects of the documents that are left. With no
+    sample, rules stay as they are.
     """
     total = docs.count()
     if not total:
         return [Measured(r, 1.0, 0.0) for r in rules]
-    draw = F.pmod(F.xxhash64("text", F.lit("rules")), F.lit(1 << 30)) / float(1 << 30)
-    sample = saved(docs.select("text").where(draw < rows / total), "rules-sample")
+    drawn_by = [c for c in ("doc_id", "text") if c in docs.columns]
+    draw = F.pmod(F.xxhash64(*drawn_by, F.lit("rules")), F.lit(1 << 30)) / float(1 << 30)
+    sample = saved(docs.where(draw < rows / total).select("text").limit(2 * rows), "rules-sample")
     stats = with_statistics(sample)
-    found = []
-    for rule in rules:
-        asked = stats.agg(F.avg(rule.rejects().cast("int")).alias("rejected"))
-        asked.collect()
-        began = time.perf_counter()
-        rejected = asked.first()["rejected"]
-        found.append(Measured(rule, max(time.perf_counter() - began, 1e-6), rejected or 0.0))
-    return sorted(found, key=lambda m: (-m.worth, m.rule.name))
+
+    def shortest(value: Column) -> float:
+        asked = stats.agg(F.count_if(value))
+        asked.collect()  # the first run compiles
+        took = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            asked.collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    empty = shortest(F.length("text") < 0)
+    cost = {r.name: max(shortest(r.rejects()) - empty, 1e-4) for r in rules}
+    # a Boolean for each rule and document of the sample
+    left = stats.select(*[F.coalesce(r.rejects(), F.lit(False)).alias(r.name) for r in rules]).toPandas()
+    forget(sample)
+    found, waiting = [], list(rules)
+    while waiting:
+        rejected = {r.name: float(left[r.name].mean()) if len(left) else 0.0 for r in waiting}
+        best = min(waiting, key=lambda r: (-rejected[r.name] / cost[r.name], cost[r.name], r.name))
+        found.append(Measured(best, cost[best.name], rejected[best.name]))
+        left = left[~left[best.name].astype(bool)]
+        waiting.remove(best)
+    return found
 
 
 def cascade(stats: DataFrame, rules: tuple[QualityRule, ...]) -> Column:
@@ -163,12 +203,13 @@ def apply_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tup
     Columns that aren't in ``keep`` are left out, so theirs may have any name. A null or empty text has no words, so that
     few_words rejects it. Repeated rows each give their row; an empty table gives none.
     """
-    ordered = tuple(m.rule for m in measure(docs, rules))
+    ordered = tuple(m.rule for m in measure(docs.select(*dict.fromkeys([c for c in keep if c == "doc_id"] + ["text"])), rules))
     stats = with_statistics(docs.select(*keep, "text"))
     return stats.withColumn("rejected_by", cascade(stats, ordered)).drop("text", "words")
 
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
+    """The statistics, base_failed and kept of every document; see ``apply_rules`` for nulls and empty texts."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id",
