@@ -172,4 +172,5 @@ def _mapped(docs: DataFrame, path: str, fields: list[T.StructField], told) -> Da
 
 
 def op6_byte_bpe(spark, sf_dir) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; see ``encode`` for nulls."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -178,6 +178,7 @@ def labelled(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> D
 
 
 def op3_language_id(spark, sf_dir) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; see ``predict`` for nulls and texts without letters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = predict(docs, learn(docs))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -261,6 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_quality_mil(spark, sf_dir) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; null and empty texts have a score too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(

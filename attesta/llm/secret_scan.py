@@ -258,6 +258,7 @@ def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def op5_secret_scan(spark, sf_dir) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans of every document; see ``scan`` for nulls and empty texts."""
     spans = F.col("spans")
     n_base = len(BASE_RULES)
 

@@ -1,12 +1,17 @@
 """Documents with nearly the same shingles: exact Jaccard similarity of at least ``LEAST`` between sets of five-word shingles.
 
+SimHash fingerprints of 64 bits tell pairs of that similarity by some ten differing bits, a few by twenty; so far apart, no
+choice of agreeing blocks and no BK-tree tells them from unlike pairs without looking at nearly all. So near pairs come from
+SimHash, and the rest from MinHash bands:
+
 1. A document becomes the set of the 64-bit hashes of its shingles; equal sets are one entry, whatever their number.
-2. MinHash: ``BANDS`` bands of ``ROWS`` minima each. Two sets of similarity 0.8 agree in no band with a chance of 3 in a
+2. SimHash: fingerprints of the sets, linked by the BK-trees of ``simhash`` where they differ in at most two bits.
+3. MinHash: ``BANDS`` bands of ``ROWS`` minima each. Two sets of similarity 0.8 agree in no band with a chance of 3 in a
    million, and more similar ones less. Sets that agree in a band share a bucket.
-3. In each bucket every set is compared with the bucket's smallest (its leader), and links that hold make components.
+4. In each bucket every set is compared with the bucket's smallest (its leader), and links that hold make components.
    Then the sets outside the leader's component are compared with all of the bucket that are not in theirs. So each pair of a
    bucket is compared, or known to be in one component: a large group of near copies costs no square of its size.
-4. Every link is verified on the whole sets. Components of the links are the groups.
+5. Every link is verified on the whole sets. Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from attesta.llm.common import free_shuffles, saved
+from attesta.llm import simhash
+from attesta.llm.common import forget, free_shuffles, saved
 from attesta.llm.simhash import components
 from attesta.llm.word_arrays import hashed_words, mixed, slices
 
@@ -75,6 +81,15 @@ def band_hashes(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return total
 
 
+def simhash_of(shingles: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is ``LEAST`` or more; two empty sets are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -86,7 +101,7 @@ def _signed(values) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key and size of its set, and bands, of every row."""
+    """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint) and bands, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -95,15 +110,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("hash"),
                     _signed([key_of(s) for s in sets]),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    _signed([simhash_of(s) for s in sets]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), _signed(bands)),
                 ],
-                names=["doc_id", "key", "size", "bands"],
+                names=["doc_id", "hash", "key", "size", "fp", "bands"],
             )
 
-    fields = [("doc_id", docs.schema["doc_id"].dataType), ("key", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+    longs = [(n, T.LongType()) for n in ("hash", "key", "size", "fp")]
+    fields = [("doc_id", docs.schema["doc_id"].dataType), *longs, ("bands", T.ArrayType(T.LongType()))]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -143,18 +161,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """src and dst (keys) that link all similar sets, as far as components go."""
-    distinct = signed.groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    distinct = saved(signed.groupBy("key").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-distinct")
     entries = saved(distinct.select("key", "size", F.explode("bands").alias("bucket")), "shingle-entries")
+    near = saved(_simhash_pairs(distinct), "shingle-near")
+    forget(distinct)
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("leader")).where("n > 1")
     members = saved(entries.join(buckets.select("bucket", "leader"), "bucket"), "shingle-members")
-    wanted = members.select("key").distinct()
+    wanted = saved(members.select("key").union(near.select("src")).union(near.select("dst")).distinct(), "shingle-wanted")
     ids = signed.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = saved(_sets(texts).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
     free_shuffles(docs.sparkSession)
 
+    forget(entries, wanted)
     fit = members.where((F.col("key") != F.col("leader.key")) & _sizes_fit(F.col("size"), F.col("leader.size")))
-    found = saved(verified(fit.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")).distinct(), sets), "shingle-links")
+    pairs = fit.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")).union(near).distinct()
+    found = saved(verified(pairs, sets), "shingle-links")
 
     roots = saved(components(found), "shingle-roots")
     placed = members.select("bucket", "key", "size", F.col("leader.key").alias("leader"))
@@ -169,20 +191,53 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .where((F.col("root") != F.col("src_root")) & (F.col("key") != F.col("leader")) & _sizes_fit(F.col("size"), F.col("src_size")))
         .select("src", F.col("key").alias("dst"))
     )
-    return found.union(saved(verified(across.distinct(), sets), "shingle-links"))
+    more = saved(verified(across.distinct(), sets), "shingle-links")
+    forget(members, near, sets, roots, placed)
+    return found.union(more)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links lead to, for every row.
+def _simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """src and dst (keys) of sets with one fingerprint, or with fingerprints that a BK-tree links; of sets of like size only.
 
-    Reads doc_id and text only. Null and wordless texts have the empty set and are one group. Repeated rows share a component;
-    a null doc_id is never the smallest unless a component has no other. An empty table gives no rows.
+    Of many sets with one fingerprint the smallest key stands for all.
     """
+    by_fp = distinct.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("one"))
+    same = distinct.join(by_fp, "fp").where(F.col("key") != F.col("one.key"))
+    same = same.select(F.col("one.key").alias("src"), F.col("key").alias("dst"), F.col("one.size").alias("a"), F.col("size").alias("b"))
+    ends = by_fp.select("fp", "one.key", "one.size")
+    linked = simhash.links(by_fp.select("fp"))
+    linked = linked.join(ends.toDF("src", "u", "a"), "src").join(ends.toDF("dst", "v", "b"), "dst")
+    return same.unionByName(linked.select(F.col("u").alias("src"), F.col("v").alias("dst"), "a", "b")).where(_sizes_fit(F.col("a"), F.col("b"))).select("src", "dst")
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``signatures``, and for each set: key, and one, the first row of its group as (no_id, doc_id, hash)."""
     signed = saved(signatures(docs), "shingle-signatures")
-    least = signed.groupBy("key").agg(F.min("doc_id").alias("least"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    first = signed.groupBy("key").agg(F.min(row).alias("first"))
     roots = components(links(docs, signed))
     free_shuffles(docs.sparkSession)
-    rooted = least.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = rooted.join(smallest, "root").select("key", "component_id")
-    return signed.select("doc_id", "key").join(by_key, "key").select("doc_id", "component_id")
+    rooted = first.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("one"))
+    return signed, rooted.join(smallest, "root").select("key", "one")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links lead to, for every row.
+
+    Reads doc_id and text only. Null and wordless texts have the empty set and are one group. Repeated rows share a component;
+    rows with one doc_id and unlike texts have components of their own. A null doc_id is never the smallest unless a component
+    has no other. An empty table gives no rows.
+    """
+    signed, groups = _groups(docs)
+    return signed.select("doc_id", "key").join(groups, "key").select("doc_id", F.col("one.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """All columns of one row of each group of near duplicates: of those with an id the smallest, then that with the least
+    hash of its text; of rows alike in both, the smallest in order of their columns, which must be such as can be ordered."""
+    kept = _groups(docs)[1].select("one.doc_id", "one.hash").distinct().toDF("_kept", "_hash")
+    keyed = docs.withColumn("_of", F.xxhash64("text"))
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_hash")), "left_semi")
+    one = rows.groupBy("doc_id", "_of").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

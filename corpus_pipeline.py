@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm import byte_bpe, language_id, mixing, secret_scan, shingle_links
-from attesta.llm.common import new_dir
+from attesta.llm.common import new_dir, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language matches less than this is none of the languages learned.
@@ -28,14 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; of rows with that id, one.
+    """One row of each group of near duplicates, that with the smallest doc_id (null ids last); none is lost.
 
-    Near duplicates share four fifths of their five-word shingles, exactly measured, or are linked by such documents.
+    Near duplicates share four fifths of their five-word shingles, exactly measured, or are linked by such documents. Ids may
+    be null or repeated: unlike texts are in groups of their own whatever their ids. Null and empty texts are one group.
     """
-    groups = shingle_links.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.select(COLUMNS).join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(COLUMNS)
+    return shingle_links.one_of_each(docs.select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +45,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time that the mix takes some of a document, with the words taken."""
+    """The mix of sources: a row for each time that the mix takes some of a document, with the words taken.
+
+    Null and empty texts stay as they are; rows with one doc_id are documents of their own, and a null source is one source.
+    """
     return mixing.remixed(docs, COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the ids (binary, little-endian unsigned 32-bit) and whether they decode to the text, of every row."""
+    """doc_id, n_tokens, the ids (binary, little-endian unsigned 32-bit) and the hash of what they decode to, of every row.
+
+    A null text counts as empty; repeated rows give a row each.
+    """
     return byte_bpe.encode(docs).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -71,10 +75,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two stages is Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = new_dir(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

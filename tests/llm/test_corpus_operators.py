@@ -54,6 +54,44 @@ def test_mix_of_small_table(spark, small_docs):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def brute_taken(mixed, sources):
+    """Words taken of each row, by its stream and place, laid out and drawn in plain Python; rows of ``mixed`` tell the order."""
+    rows = sorted(mixed.rows.select("source_ix", "stream", "place", "size").collect())
+    held, last = {}, None  # the words that each row gives to each block of its source
+    for r in rows:
+        if last is None or last[0] != r.source_ix:
+            block, word = 0, 0
+        elif last[1] != r.stream and word:
+            block, word = block + 1, 0
+        last = (r.source_ix, r.stream)
+        for _ in range(r.size):
+            held.setdefault((r.source_ix, block), Counter())[tuple(r)[:3]] += 1
+            word += 1
+            if word == mixing.BLOCK_WORDS:
+                block, word = block + 1, 0
+    taken = Counter({tuple(r)[:3]: 0 for r in rows})
+    for s in sources.itertuples():
+        for slot in range(s.slots):
+            block = int(mixing.block_of(np.array([s.source_ix]), np.array([slot]), np.array([s.blocks]))[0])
+            taken.update(held[(s.source_ix, block)])
+    return taken
+
+
+@pytest.mark.parametrize("streams, shards", [(None, None), (3, 7)])
+def test_words_taken_match_brute_force(spark, small_docs, odd_docs, streams, shards):
+    docs = small_docs.where("doc_id < 60").select("doc_id", "text", "source").union(odd_docs.select("doc_id", "text", "source"))
+    mixed = mixing.mix(docs, streams=streams, shards=shards)
+    names = sorted({r.source for r in docs.collect() if r.source is not None}, key=lambda s: s.encode()) + [None]
+    sizes = [sum(len(re.findall(SPACE, r.text or "")) for r in docs.collect() if r.source == s) for s in names]
+    assert mixed.sources.source_size.tolist() == sizes
+    assert mixed.sources.target.tolist() == [float(t) for t in mixing.targets(sizes, [i % 3 + 1 for i in range(len(names))])]
+    expected = brute_taken(mixed, mixed.sources)
+    found = {(r.source_ix, r.stream, r.place): r.taken for r in mixing.pieces(mixed).groupBy("source_ix", "stream", "place").agg(
+        F.sum(F.when(F.col("block").isNotNull(), (F.col("to") - F.col("at")) * F.col("times")).otherwise(0)).alias("taken")).collect()}
+    assert found == dict(expected)
+    assert sorted(found.values()) == sorted(r.taken for r in mixing.taken(mixed).collect())
+
+
 def test_mix_of_odd_rows(odd_docs):
     rows = mixing.taken(mixing.mix(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
@@ -128,6 +166,21 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_components_of_a_table_match_brute_force(small_docs, odd_docs):
+    docs = small_docs.select("doc_id", "text").union(odd_docs.select(F.col("doc_id") + 100000, "text"))
+    rows = docs.collect()
+    fps = [brute_fingerprint(r.text) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    least = {x: min((r.doc_id for r, y in zip(rows, root) if x == y and r.doc_id is not None), default=None) for x in set(root)}
+    expected = sorted((r.doc_id or -1, f"{f:016x}", least[x] or -1) for r, f, x in zip(rows, fps, root))
+    assert sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in simhash.near_duplicates(docs).collect()) == expected
+
+
 # substrings --------------------------------------------------------------------------------------------------------
 
 
@@ -166,6 +219,22 @@ def test_removal_matches_brute_force(spark, group):
     assert [rows[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+def test_long_words_that_differ_in_order_of_their_parts_are_unlike(spark):
+    long = ["a" * 65536 + "b" * 65536, "b" * 65536 + "a" * 65536]
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:20], x, *words[20:]]) for x in long]
+    assert len(set(hashed_words(long).hashes.tolist())) == 2
+    rows = substring_dedup.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+
+
+def test_keys_with_most_rows_stay_where_they_are(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.where("id % 2 = 0 OR id < 3000").groupBy("k").agg(F.count("*").alias("n"))
+    found = substring_dedup._in(rows, ["k"], table, ["id"])
+    assert sorted(r.id for r in found.collect()) == [i for i in range(5000) if i < 3000 or i % 2 == 0]
+
+
 def test_every_window_has_an_anchor():
     w = hashed_words(["x y z " * 30, " ".join(f"t{i}" for i in range(200))])
     at, _ = substring_dedup.anchors(w)

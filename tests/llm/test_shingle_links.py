@@ -81,6 +81,19 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept) == sorted({least for _, least in expected})
 
 
+def test_stage_loses_no_text_of_repeated_or_null_ids(spark):
+    import corpus_pipeline as p
+
+    def text(i):
+        return " ".join(f"t{i}w{j}" for j in range(40))
+
+    rows = [(3, text(1), "a"), (5, text(1), "a"), (5, text(2), "b"), (None, text(3), "c"), (None, text(4), "d"), (7, text(3), "e")]
+    rows += [(5, text(2), "b"), (8, None, "f"), (9, "", "g"), (None, text(4), "d")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text, r.source) for r in p.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(3, text(1), "a"), (5, text(2), "b"), (7, text(3), "e"), (None, text(4), "d"), (8, None, "f")], key=str)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     rows = shingle_links.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -137,8 +137,24 @@ def test_the_order_of_rules_changes_no_verdict(small_docs):
 
 
 def test_measured_rules_are_in_order_of_rejection_per_cost(small_docs):
-    worth = [m.worth for m in quality_rules.measure(small_docs)]
-    assert worth == sorted(worth, reverse=True)
+    found = quality_rules.measure(small_docs)
+    assert {m.rule.name for m in found} == {r.name for r in quality_rules.RULES}
+    # what a rule rejects is told of the documents that the rules before it leave
+    assert all(0.0 <= m.rejected <= 1.0 and m.cost > 0 for m in found)
+
+
+def repeat_words_of(words, n=3):
+    at = {}
+    for i in range(len(words) - n + 1):
+        at.setdefault(tuple(words[i : i + n]), []).append(i)
+    return len({i + j for places in at.values() if len(places) > 1 for i in places for j in range(n)})
+
+
+def test_repeated_words_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, k, n)) for n, k in ((70_000, 60), (3000, 20), (5, 2), (2, 2))]
+    rows = quality_rules.with_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_repeat_words")
+    assert {r.doc_id: r.n_repeat_words for r in rows.collect()} == {i: repeat_words_of(t.split()) for i, t in enumerate(texts)}
 
 
 def test_rules_on_odd_rows(odd_docs):
@@ -201,9 +217,7 @@ def test_only_functions_of_spark(spark):
 def word_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
 
 
 def test_chunks_encode_as_the_library_does(word_tokenizer):
@@ -213,6 +227,10 @@ def test_chunks_encode_as_the_library_does(word_tokenizer):
     for _ in range(3000):
         text = "".join(rng.choice(alphabet, rng.integers(0, 30)))
         assert np.frombuffer(mine.encode(text), mine.dtype).tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert mine.by_chunks
+    for text in ("hi <|endoftext|> x", "a<|startoftext|>b Cd", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>"):
+        assert np.frombuffer(mine.encode(text), mine.dtype).tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in np.frombuffer(mine.encode("hi <|endoftext|> x"), mine.dtype).tolist()
 
 
 def test_files_round_trip(spark, odd_docs, small_docs, word_tokenizer):
