@@ -25,7 +25,7 @@ from attesta.llm.common import SPACE, saved, words
 
 BLOCK_WORDS = 32
 #: Documents of all sources that a stream number stands for, about.
-STREAM_ROWS = 4_000
+STREAM_ROWS = 1_000
 #: Slots of an output shard, about, and the most numbers that are dealt on the driver.
 SHARD_SLOTS = 1 << 14
 CELLS = 1 << 22
