@@ -16,12 +16,13 @@ SimHash, and the rest from MinHash bands:
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from attesta.llm import simhash
 from attesta.llm.common import forget, free_shuffles, saved
@@ -96,6 +97,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 500):
+    """While pairs of whole sets go to Python: fewer rows at a time than the session's setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
@@ -104,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint) and bands, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             sets = shingle_sets(batch.column("text").to_pylist())
             bands = np.concatenate([band_hashes(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +141,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """key and shingles (bytes of the ascending hashes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [_signed([key_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"]
@@ -176,7 +189,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     forget(entries, wanted)
     fit = members.where((F.col("key") != F.col("leader.key")) & _sizes_fit(F.col("size"), F.col("leader.size")))
     pairs = fit.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")).union(near).distinct()
-    found = saved(verified(pairs, sets), "shingle-links")
+    with _small_batches(docs.sparkSession):
+        found = saved(verified(pairs, sets), "shingle-links")
 
     roots = saved(components(found), "shingle-roots")
     placed = members.select("bucket", "key", "size", F.col("leader.key").alias("leader"))
@@ -191,7 +205,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .where((F.col("root") != F.col("src_root")) & (F.col("key") != F.col("leader")) & _sizes_fit(F.col("size"), F.col("src_size")))
         .select("src", F.col("key").alias("dst"))
     )
-    more = saved(verified(across.distinct(), sets), "shingle-links")
+    with _small_batches(docs.sparkSession):
+        more = saved(verified(across.distinct(), sets), "shingle-links")
     forget(members, near, sets, roots, placed)
     return found.union(more)
 

@@ -16,6 +16,8 @@ _ODD = 0xD6E8FEB86659FD93
 
 #: Words of more bytes are hashed by XXH3: long strings can be made that a polynomial modulo 2**64 takes for equal.
 LONG_WORD = 256
+#: Letters that are hashed at a time, about.
+_CHUNK = 1 << 18
 
 
 def _powers() -> np.ndarray:
@@ -47,6 +49,17 @@ class Words:
     end_of_word: np.ndarray
 
 
+def _word_hashes(letters: np.ndarray, lengths: np.ndarray, total: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hashes of the words from the a-th to the one before the b-th; their temporary arrays are many times their letters."""
+    n = lengths[a:b]
+    from_ = int(total[a] - lengths[a])
+    first = total[a:b] - n - from_
+    place = np.minimum(np.arange(int(n.sum())) - np.repeat(first, n), LONG_WORD)
+    with np.errstate(over="ignore"):
+        terms = (letters[from_ : int(total[b - 1])].astype(np.uint64) + np.uint64(1)) * _POWER[place]
+        return mixed(np.add.reduceat(terms, first) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def hashed_words(texts: list[str | None]) -> Words:
     """64-bit hashes of words (runs of characters other than ASCII white space)."""
     encoded = [(t or "").encode() + b" " for t in texts]
@@ -60,11 +73,9 @@ def hashed_words(texts: list[str | None]) -> Words:
     lengths = ends - begins
     hashes = np.zeros(0, np.uint64)
     if len(begins):
-        first = np.cumsum(lengths) - lengths
-        place = np.minimum(np.arange(int(lengths.sum())) - np.repeat(first, lengths), LONG_WORD)
-        with np.errstate(over="ignore"):
-            terms = (data[~space].astype(np.uint64) + np.uint64(1)) * _POWER[place]
-            hashes = mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        letters, total = data[~space], np.cumsum(lengths)
+        parts = [0, *(np.searchsorted(total, np.arange(_CHUNK, int(total[-1]), _CHUNK)) + 1).tolist(), len(lengths)]
+        hashes = np.concatenate([_word_hashes(letters, lengths, total, a, b) for a, b in zip(parts, parts[1:]) if b > a])
         for i in np.flatnonzero(lengths > LONG_WORD).tolist():
             hashes[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]].tobytes())
     last = np.cumsum(per_text)
