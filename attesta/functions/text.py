@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Words that tokenisers leave out.
 STOP_WORDS = (
-    "a an and are as at be been being by comprising for from having in including is it its of on or said that the this to was were "
-    "wherein with"
+    "the and or of to a an in on for with by from is are was were be being been as at that this it its wherein said comprising "
+    "including having"
 ).split()
 COMBINATION_STOP_WORDS = STOP_WORDS + ["configured"]
 CLAIM_STOP_WORDS = (

@@ -6,13 +6,25 @@ tokens, so that pairs with nothing in common are never made.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import similarity as sim, text as tx
 from attesta.operators.search import shared_tokens, top_k
 
 # Patterns that speak against a limitation.
-CONTRADICTION_PATTERNS = [r"\bnot\b", r"\bwithout\b", r"\bexcept\b", r"\bexcluding\b", r"\bno\b", r"\bnever\b", r"\bunable\b", r"\bfails to\b"]
+CONTRADICTION_PATTERNS = [
+    r"\bnot\b",
+    r"\bwithout\b",
+    r"\babsence of\b",
+    r"\babsent\b",
+    r"\bdoes not\b",
+    r"\bdo not\b",
+    r"\bnever\b",
+    r"\binstead of\b",
+    r"\bopposite\b",
+    r"\bexclusive of\b",
+]
+PHRASE_STEP, PHRASE_MOST, WHOLE_BONUS = 0.05, 0.2, 0.4
 
 
 def sentence_passages(docs: DataFrame, least: int = 8) -> DataFrame:
@@ -26,15 +38,27 @@ def window_passages(docs: DataFrame, size: int = 3, overlap: int = 1) -> DataFra
 
 
 def passage_scores(limitations: DataFrame, passages: DataFrame) -> DataFrame:
-    """item_id, doc_id, passage and lexical: Jaccard of meaningful tokens, for pairs that share one; rounded to six places."""
-    left = limitations.select("item_id", tx.meaningful_tokens(F.col("text")).alias("tokens"))
-    right = passages.select("doc_id", "passage", tx.meaningful_tokens(F.col("text")).alias("tokens"))
+    """item_id, doc_id, passage, lexical, phrase and score of pairs that share a meaningful token; rounded to six places.
+
+    Lexical: Jaccard of meaningful tokens. Phrase: .05 for each pair of neighbours among the limitation's tokens that the
+    normalised passage holds, .2 at most. Score: their sum, 1 at most. Null and empty texts have no tokens and no rows.
+    """
+    tokens = limitations.select("item_id", tx.meaningful_tokens(F.col("text")).alias("tokens"))
+    left = tokens.withColumn("phrases", tx.ngrams(F.col("tokens"), 2))
+    normal = passages.select("doc_id", "passage", tx.normalize(F.col("text")).alias("normal"))
+    right = normal.withColumn("tokens", F.filter(tx.words_in(F.col("normal")), lambda w: (F.length(w) > 2) & ~w.isin(*tx.STOP_WORDS)))
     pairs = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"])
     jaccard = F.col("shared").cast("double") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
-    return pairs.select("item_id", "doc_id", "passage", F.round(jaccard, 6).alias("lexical"))
+    rows = pairs.select("item_id", "doc_id", "passage", jaccard.alias("j"))
+    rows = rows.join(left.select("item_id", "phrases"), "item_id").join(normal, ["doc_id", "passage"])
+    hits = F.size(F.filter("phrases", lambda p: F.contains(F.col("normal"), p)))
+    rows = rows.select("item_id", "doc_id", "passage", "j", F.least(F.lit(PHRASE_MOST), PHRASE_STEP * hits).alias("p"))
+    return rows.select(
+        "item_id", "doc_id", "passage", F.round("j", 6).alias("lexical"), F.round("p", 6).alias("phrase"), F.round(F.least(F.lit(1.0), F.col("j") + F.col("p")), 6).alias("score")
+    )
 
 
-def ranked_evidence(scores: DataFrame, score: str = "lexical", per_document: int = 3, per_limitation: int = 10) -> DataFrame:
+def ranked_evidence(scores: DataFrame, score: str = "score", per_document: int = 3, per_limitation: int = 10) -> DataFrame:
     """The best passages of each document for a limitation, then the best of those: with status and rank."""
     order = [F.desc(score), F.asc("doc_id"), F.asc("passage")]
     within = top_k(scores, ["item_id", "doc_id"], [F.desc(score), F.asc("passage")], per_document, "doc_rank")
@@ -42,7 +66,7 @@ def ranked_evidence(scores: DataFrame, score: str = "lexical", per_document: int
     return best.withColumn("status", sim.evidence_class(F.col(score)))
 
 
-def limitation_rollup(evidence: DataFrame, score: str = "lexical") -> DataFrame:
+def limitation_rollup(evidence: DataFrame, score: str = "score") -> DataFrame:
     """item_id, best, n_evidence, status and coverage: 1 from a best score of .6, else the best score."""
     rows = evidence.groupBy("item_id").agg(F.max(score).alias("best"), F.count("*").alias("n_evidence"))
     return rows.withColumns(
@@ -65,31 +89,41 @@ def claim_rollup(limitations: DataFrame, claim: Column) -> DataFrame:
 
 
 def chart(limitations: DataFrame, documents: DataFrame) -> DataFrame:
-    """A row for every limitation and document, with the best passage's score and status; NOT_FOUND where none shares a token.
+    """item_id, doc_id, score and status of limitations and documents with anything found: the best passage's score.
 
-    ``documents`` has doc_id and passages' rows doc_id, passage, text. Scores: Jaccard of tokens, plus .4 if the passage
-    holds the whole normalised limitation. The cross of limitations and document ids is the result itself.
+    ``documents`` has passages' rows doc_id, passage, text. Scores: Jaccard of tokens, plus .4 if the passage holds the whole
+    normalised limitation, 1 at most; rounded to four places. Pairs that aren't here are NOT_FOUND: there are as many as
+    limitations times documents, so that they are counted (see ``chart_statistics``) and not laid out.
     """
-    left = limitations.select("item_id", tx.chart_tokens(F.col("text")).alias("tokens"))
-    right = documents.select("doc_id", "passage", tx.chart_tokens(F.col("text")).alias("tokens"))
+    left = limitations.select("item_id", tx.normalize_unicode(F.col("text")).alias("whole"))
+    left = left.withColumn("tokens", F.filter(tx.words_in(F.col("whole")), lambda w: F.length(w) >= 2))
+    right = documents.select("doc_id", "passage", tx.normalize_unicode(F.col("text")).alias("normal"))
+    right = right.withColumn("tokens", F.filter(tx.words_in(F.col("normal")), lambda w: F.length(w) >= 2))
     pairs = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"])
     jaccard = F.col("shared").cast("double") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
-    best = pairs.groupBy("item_id", "doc_id").agg(F.round(F.max(jaccard), 4).alias("score"))
-    grid = limitations.select("item_id").crossJoin(documents.select("doc_id").distinct())
-    rows = grid.join(best, ["item_id", "doc_id"], "left").na.fill(0.0, ["score"])
-    return rows.withColumn("status", sim.chart_status(F.col("score")))
+    # a passage that holds the whole limitation shares all of its tokens but the first and the last, which may be parts of words
+    held = pairs.where(F.col("shared") >= F.col("n_left") - 2).select("item_id", "doc_id", "passage")
+    held = held.join(left.select("item_id", "whole"), "item_id").join(right.select("doc_id", "passage", "normal"), ["doc_id", "passage"])
+    held = held.where(F.contains("normal", "whole")).select("item_id", "doc_id", "passage", F.lit(WHOLE_BONUS).alias("bonus"))
+    rows = pairs.select("item_id", "doc_id", "passage", jaccard.alias("j")).join(held, ["item_id", "doc_id", "passage"], "left")
+    score = F.least(F.lit(1.0), F.col("j") + F.coalesce("bonus", F.lit(0.0)))
+    best = rows.groupBy("item_id", "doc_id").agg(F.round(F.max(score), 4).alias("score"))
+    return best.withColumn("status", sim.chart_status(F.col("score"))).where("status <> 'NOT_FOUND'")
 
 
-def chart_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Counts by status and coverage, (EXPLICIT + PARTIAL) / all, and weighted coverage, (EXPLICIT + PARTIAL / 2) / all."""
+def chart_statistics(rows: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
+    """Counts by status and coverage, (EXPLICIT + PARTIAL) / all, and weighted coverage, (EXPLICIT + PARTIAL / 2) / all.
+
+    ``totals`` has the keys ``by`` and n_rows, the limitations times documents of each; what isn't found is counted from it.
+    """
 
     def n(status: str) -> Column:
         return F.count_if(F.col("status") == status)
 
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
-        *[n(s).alias("n_" + s.lower()) for s in ("EXPLICIT", "PARTIAL", "INFERRED", "UNCERTAIN", "NOT_FOUND")],
-    )
+    found = ["n_explicit", "n_partial", "n_inferred", "n_uncertain"]
+    counts = rows.groupBy(*by).agg(*[n(c[2:].upper()).alias(c) for c in found])
+    out = totals.join(counts, by, "left").na.fill(0, found)
+    out = out.withColumn("n_not_found", F.col("n_rows") - sum((F.col(c) for c in found), F.lit(0)))
     return out.withColumns(
         {
             "coverage_ratio": F.round((F.col("n_explicit") + F.col("n_partial")) / F.col("n_rows"), 4),
@@ -98,6 +132,15 @@ def chart_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def rank_documents(rows: DataFrame, sizes: DataFrame, claim: str = "claim") -> DataFrame:
+    """claim, doc_id, counts by status, coverage (EXPLICIT + PARTIAL / 2 over the claim's limitations) and rank of documents
+    that have anything of a claim; ties go to the smaller doc_id. ``rows`` is a chart with claim, ``sizes`` claim and n_limitations."""
+    counts = rows.groupBy(claim, "doc_id").agg(*[F.count_if(F.col("status") == s).alias("n_" + s.lower()) for s in ("EXPLICIT", "PARTIAL", "INFERRED", "UNCERTAIN")])
+    coverage = F.round((F.col("n_explicit") + 0.5 * F.col("n_partial")) / F.col("n_limitations"), 4)
+    ranked = counts.join(sizes, claim).withColumn("coverage", coverage)
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(claim).orderBy(F.desc("coverage"), "doc_id"))).drop("n_limitations")
+
+
 # retrieval ----------------------------------------------------------------------------------------------------------
 
 
@@ -179,12 +222,16 @@ def verify(pairs: DataFrame, keys: list[str], limitation_col: str, passage_col:
     return rows.drop("_prov").withColumns({c: F.round(c, 6) for c in ("lexical", "phrase", "context", "combined")})
 
 
-def verification_rollup(results: DataFrame, by: str) -> DataFrame:
-    """The strongest status of each limitation, its best score, and counts; contradicted only if nothing supports it."""
+def verification_rollup(results: DataFrame, by: str, limitations: DataFrame | None = None) -> DataFrame:
+    """The strongest status of each limitation, its best score, and counts; contradicted only if nothing supports it.
+
+    Limitations (a frame with ``by``) without evidence are not_found, with coverage 0.
+    """
 
     def n(status: str) -> Column:
         return F.count_if(F.col("status") == status)
 
+    counts = ["coverage", "n_verified", "n_partial", "n_contradicted", "n_evidence"]
     rows = results.groupBy(by).agg(
         F.max("combined").alias("coverage"),
         n("verified").alias("n_verified"),
@@ -196,6 +243,9 @@ def verification_rollup(results: DataFrame, by: str) -> DataFrame:
         F.when(F.col("n_verified") > 0, "verified")
         .when(F.col("n_partial") > 0, "partially_verified")
         .when(F.col("n_contradicted") > 0, "contradicted")
+        .when(F.col("n_evidence") == 0, "not_found")
         .otherwise("unverified")
     )
+    if limitations is not None:
+        rows = limitations.select(by).distinct().join(rows, by, "left").na.fill(0, counts)
     return rows.withColumn("status", status)

@@ -87,12 +87,13 @@ def aggregate_risk(signals: DataFrame, by: list[str], score: str = "score") -> D
     """sum / max(1, .75 n) in [0, 1], its level, and counts by level; without ``by``, one row over all."""
     level = sim.risk_level(F.col(score))
     rows = signals.withColumn("_level", level).groupBy(*by).agg(
-        # the sum is a little off what its terms add up to: ties of the last place go up
-        F.round(sim.clamp(F.coalesce(F.sum(score), F.lit(0.0)) / F.greatest(F.lit(1.0), 0.75 * F.count("*"))) + 1e-9, 4).alias("risk"),
+        # scores have four places: their sum is exact as a decimal number
+        F.coalesce(F.sum(F.col(score).cast("decimal(20,4)")), F.lit(0).cast("decimal(20,4)")).cast("double").alias("_sum"),
         F.count("*").alias("n_signals"),
         *[F.count_if(F.col("_level") == l).alias(f"n_{l.lower()}") for l in ("HIGH", "MEDIUM", "LOW")],
     )
-    return rows.withColumn("level", sim.risk_level(F.col("risk")))
+    risk = F.round(sim.clamp(F.col("_sum") / F.greatest(F.lit(1.0), 0.75 * F.col("n_signals"))), 4)
+    return rows.withColumn("risk", risk).withColumn("level", sim.risk_level(F.col("risk"))).drop("_sum")
 
 
 # issues -------------------------------------------------------------------------------------------------------------

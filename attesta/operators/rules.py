@@ -30,7 +30,7 @@ def match_rules(texts: DataFrame, rules: list[Rule], keys: list[str], text_col:
 
     Rules are an argument, so that matching is one projection of the texts and needs no join.
     """
-    low = F.lower(tx.clean(F.col(text_col)))
+    low = F.col("_low")
 
     def found(rule: Rule) -> Column:
         terms = F.array(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in dict.fromkeys(rule.keywords)])
@@ -38,6 +38,7 @@ def match_rules(texts: DataFrame, rules: list[Rule], keys: list[str], text_col:
             F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.filter(terms, lambda t: t.isNotNull()).alias("terms")
         )
 
+    texts = texts.select(*keys, F.lower(tx.clean(F.col(text_col))).alias("_low"))
     rows = texts.select(*keys, F.explode(F.array(*[found(r) for r in rules])).alias("m")).where(F.size("m.terms") > 0)
     n = F.size("m.terms")
     confidence = F.round(F.least(F.lit(1.0), 0.45 + 0.10 * n), 3)
@@ -45,10 +46,13 @@ def match_rules(texts: DataFrame, rules: list[Rule], keys: list[str], text_col:
 
 
 def clarity_issues(texts: DataFrame, keys: list[str], terms: list[str] = VAGUE_TERMS, text_col: str = "text") -> DataFrame:
-    low = F.lower(tx.clean(F.col(text_col)))
-    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
-    rows = texts.select(*keys, found.alias("terms")).where(F.size("terms") > 0)
-    return rows.select(*keys, F.array_join("terms", ",").alias("terms"), F.lit(0.68).alias("confidence"))
+    """The keys, terms (comma-joined, in the order given) and confidence of texts that hold any of the terms."""
+    low = F.col("_low")
+    texts = texts.select(*keys, F.lower(tx.clean(F.col(text_col))).alias("_low"))
+    # concat_ws leaves nulls out; the explode of one value keeps the filter from being worked out before and after
+    found = F.concat_ws(",", *[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])
+    rows = texts.select(*keys, F.explode(F.array(found)).alias("terms")).where("terms <> ''")
+    return rows.select(*keys, "terms", F.lit(0.68).alias("confidence"))
 
 
 def support(pairs: DataFrame, keys: list[str], limitation_col: str, specification_col: str, least: float = 0.35) -> DataFrame:

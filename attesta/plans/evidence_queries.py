@@ -25,25 +25,31 @@ def _passages(spark, sf_dir):
 _SCORES = f"""
 {sql.PASSAGES},
 {sql.shared('benchmark', 'passages', 'item_id', 'doc_id, passage', sql.meaningful('text'), sql.meaningful('text'))},
-scores AS (SELECT item_id, doc_id, passage, round(CAST(shared AS DOUBLE) / (n_left + n_right - shared), 6) AS lexical FROM pairs),
-w AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY lexical DESC, passage) AS r FROM scores),
-b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lexical DESC, doc_id, passage) AS rank FROM w WHERE r <= 3),
-ev AS (SELECT item_id, doc_id, passage, lexical, CAST(rank AS INTEGER) AS rank, {sql.ladder('lexical', sim.EVIDENCE_STEPS, 'UNCERTAIN')} AS status FROM b WHERE rank <= 10)"""
+lim2 AS (SELECT item_id, {sql.meaningful('text')} AS lt FROM benchmark),
+pas2 AS (SELECT doc_id, passage, {sql.normalize('text')} AS np FROM passages),
+raw AS (
+  SELECT p.item_id, p.doc_id, p.passage, CAST(shared AS DOUBLE) / (n_left + n_right - shared) AS j,
+    least(CAST(0.2 AS DOUBLE), CAST(0.05 AS DOUBLE) * len(list_filter(range(1, len(lt)), lambda i: contains(np, lt[i] || ' ' || lt[i + 1])))) AS ph
+  FROM pairs p JOIN lim2 USING (item_id) JOIN pas2 ON pas2.doc_id = p.doc_id AND pas2.passage = p.passage),
+scores AS (SELECT item_id, doc_id, passage, round(j, 6) AS lexical, round(ph, 6) AS phrase, round(least(CAST(1.0 AS DOUBLE), j + ph), 6) AS score FROM raw),
+w AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, passage) AS r FROM scores),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage) AS rank FROM w WHERE r <= 3),
+ev AS (SELECT item_id, doc_id, passage, lexical, phrase, score, CAST(rank AS INTEGER) AS rank, {sql.ladder('score', sim.EVIDENCE_STEPS, 'UNCERTAIN')} AS status FROM b WHERE rank <= 10)"""
 
 
 def _evidence(spark, sf_dir):
     return ops.ranked_evidence(ops.passage_scores(_items(spark, sf_dir), _passages(spark, sf_dir)))
 
 
-@query(f"WITH {_SCORES} SELECT item_id, doc_id, CAST(passage AS INTEGER) AS passage, lexical, rank, status FROM ev")
+@query(f"WITH {_SCORES} SELECT item_id, doc_id, CAST(passage AS INTEGER) AS passage, lexical, phrase, score, rank, status FROM ev")
 def limitation_evidence_topk(spark, sf_dir):
-    return _evidence(spark, sf_dir).select("item_id", "doc_id", "passage", "lexical", "rank", "status")
+    return _evidence(spark, sf_dir).select("item_id", "doc_id", "passage", "lexical", "phrase", "score", "rank", "status")
 
 
 _ROLLUP = f"""{_SCORES},
 roll AS (
   SELECT *, {sql.ladder('best', sim.LIMITATION_STEPS, 'NO_STRONG_EVIDENCE')} AS status, CASE WHEN best >= 0.6 THEN 1.0 ELSE best END AS coverage
-  FROM (SELECT item_id, max(lexical) AS best, count(*) AS n_evidence FROM ev GROUP BY item_id))"""
+  FROM (SELECT item_id, max(score) AS best, count(*) AS n_evidence FROM ev GROUP BY item_id))"""
 
 
 @query(f"WITH {_ROLLUP} SELECT item_id, best, n_evidence, status, coverage FROM roll")
@@ -61,11 +67,12 @@ def evidence_claim_rollup(spark, sf_dir):
 _CHART = f"""
 {sql.PASSAGES},
 {sql.shared('benchmark', 'passages', 'item_id', 'doc_id, passage', sql.chart_tokens('text'), sql.chart_tokens('text'))},
-best AS (SELECT item_id, doc_id, round(max(CAST(shared AS DOUBLE) / (n_left + n_right - shared)), 4) AS score FROM pairs GROUP BY 1, 2),
-grid AS (SELECT item_id, doc_id FROM benchmark, (SELECT DISTINCT doc_id FROM passages)),
-chart AS (
-  SELECT item_id, doc_id, score, {sql.ladder('score', sim.CHART_STEPS, 'NOT_FOUND')} AS status
-  FROM (SELECT g.item_id, g.doc_id, coalesce(b.score, 0.0) AS score FROM grid g LEFT JOIN best b ON g.item_id = b.item_id AND g.doc_id = b.doc_id))"""
+nl AS (SELECT item_id, {sql.normalize_unicode('text')} AS whole FROM benchmark),
+npp AS (SELECT doc_id, passage, {sql.normalize_unicode('text')} AS normal FROM passages),
+best AS (
+  SELECT p.item_id, p.doc_id, round(max(least(CAST(1.0 AS DOUBLE), CAST(shared AS DOUBLE) / (n_left + n_right - shared) + CASE WHEN contains(normal, whole) THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)), 4) AS score
+  FROM pairs p JOIN nl USING (item_id) JOIN npp ON npp.doc_id = p.doc_id AND npp.passage = p.passage GROUP BY 1, 2),
+chart AS (SELECT item_id, doc_id, score, {sql.ladder('score', sim.CHART_STEPS, 'NOT_FOUND')} AS status FROM best WHERE score >= 0.15)"""
 
 
 def _chart(spark, sf_dir):
@@ -78,25 +85,43 @@ def claim_chart_rows(spark, sf_dir):
 
 
 def _chart_sql(by: str) -> str:
+    """By the whole grid of limitations and documents."""
     n = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in ("EXPLICIT", "PARTIAL", "INFERRED", "UNCERTAIN", "NOT_FOUND"))
     return f"""
-WITH {_CHART}, c AS (SELECT {by}, count(*) AS n_rows, {n} FROM chart GROUP BY 1)
+WITH {_CHART},
+grid AS (SELECT b.item_id, d.doc_id, coalesce(c.status, 'NOT_FOUND') AS status FROM benchmark b CROSS JOIN documents d LEFT JOIN chart c ON c.item_id = b.item_id AND c.doc_id = d.doc_id),
+c AS (SELECT {by}, count(*) AS n_rows, {n} FROM grid GROUP BY 1)
 SELECT *, round(CAST(n_explicit + n_partial AS DOUBLE) / n_rows, 4) AS coverage_ratio, CAST(round((n_explicit + 0.5 * n_partial) / CAST(n_rows AS DOUBLE), 4) AS DOUBLE) AS weighted_coverage FROM c"""
 
 
 @query(_chart_sql("item_id"))
 def chart_statistics(spark, sf_dir):
-    return ops.chart_statistics(_chart(spark, sf_dir), ["item_id"])
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"))
+    totals = _items(spark, sf_dir).select("item_id").join(F.broadcast(n))  # one row
+    return ops.chart_statistics(_chart(spark, sf_dir), ["item_id"], totals)
 
 
 @query(_chart_sql(f"{CLAIM} AS claim"))
 def claim_coverage(spark, sf_dir):
-    return ops.chart_statistics(_chart(spark, sf_dir).withColumn("claim", F.expr(CLAIM)), ["claim"])
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    totals = _claim_sizes(spark, sf_dir).join(F.broadcast(n)).select("claim", (F.col("n_limitations") * F.col("n")).alias("n_rows"))
+    return ops.chart_statistics(_chart(spark, sf_dir).withColumn("claim", F.expr(CLAIM)), ["claim"], totals)
 
 
 @query(_chart_sql("doc_id"))
+def document_coverage(spark, sf_dir):
+    n = _items(spark, sf_dir).agg(F.count("*").alias("n_rows"))
+    totals = table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(n))
+    return ops.chart_statistics(_chart(spark, sf_dir), ["doc_id"], totals)
+
+
+@query(f"""
+WITH {_CHART}, cl AS (SELECT {CLAIM} AS claim, count(*) AS n_limitations FROM benchmark GROUP BY 1),
+k AS (SELECT {CLAIM} AS claim, doc_id, count(*) FILTER (status = 'EXPLICIT') AS n_explicit, count(*) FILTER (status = 'PARTIAL') AS n_partial, count(*) FILTER (status = 'INFERRED') AS n_inferred, count(*) FILTER (status = 'UNCERTAIN') AS n_uncertain FROM chart GROUP BY 1, 2),
+c AS (SELECT k.*, CAST(round((n_explicit + 0.5 * n_partial) / CAST(n_limitations AS DOUBLE), 4) AS DOUBLE) AS coverage FROM k JOIN cl USING (claim))
+SELECT *, CAST(row_number() OVER (PARTITION BY claim ORDER BY coverage DESC, doc_id) AS INTEGER) AS rank FROM c""")
 def document_rank_for_claim(spark, sf_dir):
-    return ops.chart_statistics(_chart(spark, sf_dir), ["doc_id"])
+    return ops.rank_documents(_chart(spark, sf_dir).withColumn("claim", F.expr(CLAIM)), _claim_sizes(spark, sf_dir))
 
 
 # retrieval ----------------------------------------------------------------------------------------------------------
@@ -186,23 +211,23 @@ def verifier_scores(spark, sf_dir):
 
 @query(f"""
 WITH {_VERIFIER}, r AS (
-  SELECT item_id, max(combined) AS coverage, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'partially_verified') AS n_partial,
-    count(*) FILTER (status = 'contradicted') AS n_contradicted, count(*) AS n_evidence FROM ver GROUP BY 1)
-SELECT *, CASE WHEN n_verified > 0 THEN 'verified' WHEN n_partial > 0 THEN 'partially_verified' WHEN n_contradicted > 0 THEN 'contradicted' ELSE 'unverified' END AS status FROM r""")
+  SELECT b.item_id, coalesce(max(combined), 0.0) AS coverage, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'partially_verified') AS n_partial,
+    count(*) FILTER (status = 'contradicted') AS n_contradicted, count(v.item_id) AS n_evidence FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN ver v ON v.item_id = b.item_id GROUP BY 1)
+SELECT *, CASE WHEN n_verified > 0 THEN 'verified' WHEN n_partial > 0 THEN 'partially_verified' WHEN n_contradicted > 0 THEN 'contradicted' WHEN n_evidence = 0 THEN 'not_found' ELSE 'unverified' END AS status FROM r""")
 def verifier_rollup(spark, sf_dir):
-    return ops.verification_rollup(_verified(spark, sf_dir), "item_id")
+    return ops.verification_rollup(_verified(spark, sf_dir), "item_id", _items(spark, sf_dir))
 
 
 # same-document coverage and pairs -----------------------------------------------------------------------------------
 
 _BEST = f"""{_SCORES},
-ds AS (SELECT {CLAIM} AS claim, item_id, doc_id, max(lexical) AS score FROM scores GROUP BY 1, 2, 3),
+ds AS (SELECT {CLAIM} AS claim, item_id, doc_id, max(score) AS score FROM scores GROUP BY 1, 2, 3),
 cl AS (SELECT {CLAIM} AS claim, count(*) AS n_limitations FROM benchmark GROUP BY 1)"""
 
 
 def _best_scores(spark, sf_dir):
     rows = ops.passage_scores(_items(spark, sf_dir), _passages(spark, sf_dir)).withColumn("claim", F.expr(CLAIM))
-    return rows.groupBy("claim", "item_id", "doc_id").agg(F.max("lexical").alias("score"))
+    return rows.groupBy("claim", "item_id", "doc_id").agg(F.max("score").alias("score"))
 
 
 def _claim_sizes(spark, sf_dir):

@@ -43,7 +43,7 @@ def _risk_sql(by: str) -> str:
     level = sql.ladder("score", sim.RISK_STEPS, "INFO")
     counts = ", ".join(f"count(*) FILTER ({level} = '{l}') AS n_{l.lower()}" for l in ("HIGH", "MEDIUM", "LOW"))
     return f"""
-WITH {_SIGNALS}, a AS (SELECT {keys}round(greatest(0.0, least(1.0, coalesce(sum(score), 0) / greatest(1.0, CAST(0.75 * count(*) AS DOUBLE)))) + 1e-9, 4) AS risk, count(*) AS n_signals, {counts} FROM signals {group})
+WITH {_SIGNALS}, a AS (SELECT {keys}round(greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), CAST(coalesce(sum(CAST(score AS DECIMAL(20,4))), 0) AS DOUBLE) / greatest(CAST(1.0 AS DOUBLE), CAST(0.75 * count(*) AS DOUBLE)))), 4) AS risk, count(*) AS n_signals, {counts} FROM signals {group})
 SELECT *, {sql.ladder('risk', sim.RISK_STEPS, 'INFO')} AS level FROM a"""
 
 

@@ -69,10 +69,10 @@ def candidate_dedupe_first(spark, sf_dir):
 
 
 @query(f"""
-WITH k AS (SELECT doc_id, source, n_chars, lang, substr({sql.normalize('text')}, 1, 12) AS key FROM documents)
+WITH k AS (SELECT doc_id, source, n_chars, lang, substr(sha256('TEXT:' || {sql.normalize('text')}), 1, 32) AS key FROM documents)
 SELECT key, max(n_chars) AS best_score, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(*) AS n_merged, arg_max(doc_id, n_chars * 1000000000 - doc_id) AS doc_id FROM k GROUP BY key""")
 def candidate_dedupe_best_merge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring(tx.normalize(F.col("text")), 1, 12).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring(F.sha2(F.concat(F.lit("TEXT:"), tx.normalize(F.col("text"))).cast("binary"), 256), 1, 32).alias("key"))
     rows = ops.keep_best(docs, F.col("key"), F.col("n_chars"), F.col("doc_id"), "source", [], ["doc_id"])
     return rows.select("key", "best_score", F.array_join("source", ",").alias("sources"), "n_merged", "doc_id")
 
