@@ -13,7 +13,8 @@
 5. Buckets lie in groups of about ``ENTRY_BLOCK`` entries, in which candidates are scored exactly on the original vectors in
    double precision. Large groups are cut into blocks of bounded size on both sides.
 6. Each query is first scored against one bounded sample of entries. No score below its k + 1 best there can be in the
-   answer, so that groups tell few of their candidates; what the sample holds is a candidate like any other.
+   answer, so that groups tell few of their candidates; what the sample holds is a candidate like any other. Tables are
+   searched in turns (``TURNS``), and what a turn finds raises the floors of the next.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attesta.llm.common import saved
+from attesta.llm.common import forget, saved
 
 TABLES = 16
 #: Entries in a bucket, on average.
@@ -35,6 +36,8 @@ ENTRY_BLOCK = 1024
 QUERY_BLOCK = 512
 #: Entries that give each query its floor: at most this many, and at most an eighth of all.
 SAMPLE = 2048
+#: The first table of each turn.
+TURNS = (0, 1, 4)
 SEED = 10
 #: Lengths of a band differ at most by this factor.
 BAND_RATIO = 1.25
@@ -219,9 +222,19 @@ def nearest(
     distinct = saved(_floors(asked.groupBy("v").agg(F.min("id").alias("q")), _sample(index, sum(n for _, n in bands)), k), "ann-queries")
 
     hashed = saved(_hashed(index, longest, layouts, width, tables), "ann-hashed")
-    probing = saved(_probing(distinct.select("v", "q", "floor"), longest, layouts, width, tables, probes), "ann-probing")
-    in_sample = distinct.select("q", F.explode("found").alias("x")).select("q", "x.minus", "x.id")
-    merged = saved(_best(_meet(hashed, probing, k).unionByName(in_sample), k), "ann-found")
+    n_parts = max(1, distinct.count() // 128)
+    merged = distinct.select("q", F.explode("found").alias("x")).select("q", "x.minus", "x.id")
+    floors = distinct.select("v", "q", "floor")
+    for a, b in zip(TURNS, (*TURNS[1:], tables)):
+        if a >= tables:
+            break
+        probing = saved(_probing(floors.repartition(n_parts), longest, layouts, width, tables, range(a, min(b, tables)), probes), "ann-probing")
+        turn = hashed.where((F.col("t") % tables >= a) & (F.col("t") % tables < b))
+        merged = saved(_best(_meet(turn, probing, k).unionByName(merged), k), "ann-found")
+        forget(probing)
+        reached = merged.groupBy("q").agg(F.max("minus").alias("last"), F.count("*").alias("n")).where(F.col("n") > k)
+        floors = distinct.select("v", "q", "floor").join(reached, "q", "left").select("v", "q", F.greatest("floor", -F.col("last")).alias("floor"))
+    forget(hashed)
     # a query that found fewer than there are to find looks at all entries, block by block
     there = index.select(F.explode("ids").alias("id")).limit(k + 1).count()
     enough = merged.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= there).select("q")
@@ -315,8 +328,11 @@ def _hashed(index: DataFrame, longest: np.ndarray, layouts: list[Layout], width:
     return index.select("v", "ids").mapInArrow(run, f"t int, g long, code long, v {v}, ids array<bigint>")
 
 
-def _probing(asked: DataFrame, longest: np.ndarray, layouts: list[Layout], width: int, tables: int, probes: int | None) -> DataFrame:
-    """t, g, codes (the buckets to look at; null: all of the group), v, q and floor of every query, for each group it probes."""
+def _probing(
+    asked: DataFrame, longest: np.ndarray, layouts: list[Layout], width: int, tables: int, turn: range, probes: int | None
+) -> DataFrame:
+    """t, g, codes (the buckets to look at; null: all of the group), v, q and floor of every query, for each group it probes
+    in a turn's tables; a band that is compared whole belongs to the first turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
@@ -338,12 +354,12 @@ def _probing(asked: DataFrame, longest: np.ndarray, layouts: list[Layout], width
                 whole = np.full(len(x), use.bits == 0) if len(layouts) == 1 else (needs < WIDE) | (use.bits == 0)
                 there = needs <= 1 + 1e-9
                 at = np.flatnonzero(whole & there)
-                if len(at):
+                if len(at) and turn.start == 0:
                     n = 1 << use.group_bits
                     groups = np.tile(np.arange(n), len(at))
                     yield rows(band * tables, groups, pa.nulls(len(groups), pa.list_(pa.int64())), np.repeat(at, n))
                 at = np.flatnonzero(~whole & there)
-                for t in range(tables if len(at) else 0):
+                for t in turn if len(at) else ():
                     found = np.sort(buckets(points[at], t, use.dims, probes or use.probes), axis=1)
                     g = found >> (use.bits - use.group_bits)
                     opens = np.ones(found.shape, bool)
