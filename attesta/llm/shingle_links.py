@@ -99,7 +99,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 @contextmanager
 def _small_batches(spark: SparkSession, rows: int = 500):
-    """While pairs of whole sets go to Python: fewer rows at a time than the session's setting."""
+    """While whole texts and sets go to Python: fewer rows at a time than the session's setting."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
@@ -189,8 +189,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     forget(entries, wanted)
     fit = members.where((F.col("key") != F.col("leader.key")) & _sizes_fit(F.col("size"), F.col("leader.size")))
     pairs = fit.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")).union(near).distinct()
-    with _small_batches(docs.sparkSession):
-        found = saved(verified(pairs, sets), "shingle-links")
+    found = saved(verified(pairs, sets), "shingle-links")
 
     roots = saved(components(found), "shingle-roots")
     placed = members.select("bucket", "key", "size", F.col("leader.key").alias("leader"))
@@ -205,8 +204,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .where((F.col("root") != F.col("src_root")) & (F.col("key") != F.col("leader")) & _sizes_fit(F.col("size"), F.col("src_size")))
         .select("src", F.col("key").alias("dst"))
     )
-    with _small_batches(docs.sparkSession):
-        more = saved(verified(across.distinct(), sets), "shingle-links")
+    more = saved(verified(across.distinct(), sets), "shingle-links")
     forget(members, near, sets, roots, placed)
     return found.union(more)
 
@@ -227,10 +225,11 @@ def _simhash_pairs(distinct: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``signatures``, and for each set: key, and one, the first row of its group as (no_id, doc_id, hash)."""
-    signed = saved(signatures(docs), "shingle-signatures")
+    with _small_batches(docs.sparkSession):
+        signed = saved(signatures(docs), "shingle-signatures")
+        roots = components(links(docs, signed))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     first = signed.groupBy("key").agg(F.min(row).alias("first"))
-    roots = components(links(docs, signed))
     free_shuffles(docs.sparkSession)
     rooted = first.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("one"))
