@@ -97,6 +97,9 @@ class Encoder:
             out[t] = np.array(e.ids, self.dtype).tobytes()
         return {c: out[t] for c, t in zip(chunks, texts)}
 
+    def _has_special(self, low: str) -> bool:
+        return any(s.lower() in low for s in self.special)
+
     def chunks(self, text: str) -> list[bytes]:
         data = _ENDS_WORD.sub(r" \g<0>", text).encode()
         # lower-casing first could let a letter join a mark that its capital doesn't join
@@ -104,7 +107,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as bytes of ``dtype``."""
-        if text and (not self.by_chunks or any(s in text for s in self.special)):
+        # chunks are lower-cased, which must not make a special token's string of one in capitals
+        if text and (not self.by_chunks or self._has_special(text.lower())):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         chunks = self.chunks(text or "")
         young, unknown = self.young, []
