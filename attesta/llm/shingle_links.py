@@ -8,10 +8,12 @@ SimHash, and the rest from MinHash bands:
 2. SimHash: fingerprints of the sets, linked by the BK-trees of ``simhash`` where they differ in at most two bits.
 3. MinHash: ``BANDS`` bands of ``ROWS`` minima each. Two sets of similarity 0.8 agree in no band with a chance of 3 in a
    million, and more similar ones less. Sets that agree in a band share a bucket.
-4. In each bucket every set is compared with the bucket's smallest (its leader), and links that hold make components.
-   Then the sets outside the leader's component are compared with all of the bucket that are not in theirs. So each pair of a
-   bucket is compared, or known to be in one component: a large group of near copies costs no square of its size.
-5. Every link is verified on the whole sets. Components of the links are the groups.
+4. Pairs are looked at in turns, and of each turn only those whose sets are in no common component yet: the SimHash pairs; each
+   set with one leader of its buckets; with the leaders of all its buckets; then the sets outside their bucket's leader's
+   component with all of the bucket. A bucket's leader is the set that meets most others in its buckets, as the original of
+   many near copies does. So each pair of a bucket is compared, or known to be in one component.
+5. Pairs go on to be verified if at most ``UNLIKE`` of all minima differ, told by four bits each; a pair of similarity 0.8
+   fails that with a chance of 1 in a million. Every link is verified on the whole sets. Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ LEAST = (4, 5)
 BANDS = 32
 ROWS = 5
 SEED = 7
+#: The most of BANDS * ROWS minima that may differ, in their lowest four bits, before a pair counts as unlike.
+UNLIKE = 55
 #: Parts that the pairs of one set are dealt into.
 _SALTS = 256
 _CHUNK = 2048
@@ -67,21 +71,46 @@ def key_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)
 
 
-def band_hashes(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A hash of each band's minima and its number."""
+def minima(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The least of each of n hashes of the set's members."""
     rng = np.random.default_rng([SEED, 1])
-    odd = rng.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, bands * rows, np.uint64)
-    least = np.full(bands * rows, ~np.uint64(0))
+    odd = rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, n, np.uint64)
+    least = np.full(n, ~np.uint64(0))
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), _CHUNK):
             np.minimum(least, (odd[:, None] * shingles[at : at + _CHUNK] + add[:, None]).min(axis=1), out=least)
-        total = np.arange(1, bands + 1).astype(np.uint64)
-        for i in range(rows):
-            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + least.reshape(bands, rows)[:, i])
+    return least
+
+
+def band_hashes(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A hash of each band's minima and its number."""
+    by_band = least.reshape(bands, -1)
+    total = np.arange(1, bands + 1).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(by_band.shape[1]):
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + by_band[:, i])
     return total
 
 
+def sketch_of(least: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, sixteen of them in a number."""
+    bits = (mixed(least) & np.uint64(15)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
+def unlike_minima(a: Column, b: Column) -> Column:
+    """How many minima differ between two sketches."""
+
+    def one(i: int) -> Column:
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((one(i) for i in range(1, BANDS * ROWS // 16)), one(0))
+
+
 def simhash_of(shingles: np.ndarray) -> int:
     """The SimHash fingerprint of a set of hashes; 0 for the empty set."""
     ones = np.zeros(64, np.int64)
@@ -113,13 +142,19 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Lists of one length."""
+    starts = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(len(rows[0]))
+    return pa.ListArray.from_arrays(pa.array(starts), _signed(np.concatenate(rows)))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint) and bands, of every row."""
+    """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint), bands and sketch, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
             sets = shingle_sets(batch.column("text").to_pylist())
-            bands = np.concatenate([band_hashes(s) for s in sets])
+            least = [minima(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -127,13 +162,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     _signed([key_of(s) for s in sets]),
                     pa.array([len(s) for s in sets], pa.int64()),
                     _signed([simhash_of(s) for s in sets]),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), _signed(bands)),
+                    _lists([band_hashes(m) for m in least]),
+                    _lists([sketch_of(m) for m in least]),
                 ],
-                names=["doc_id", "hash", "key", "size", "fp", "bands"],
+                names=["doc_id", "hash", "key", "size", "fp", "bands", "sketch"],
             )
 
     longs = [(n, T.LongType()) for n in ("hash", "key", "size", "fp")]
-    fields = [("doc_id", docs.schema["doc_id"].dataType), *longs, ("bands", T.ArrayType(T.LongType()))]
+    lists = [(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch")]
+    fields = [("doc_id", docs.schema["doc_id"].dataType), *longs, *lists]
     return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
@@ -172,40 +209,81 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """src and dst (keys) that link all similar sets, as far as components go."""
-    distinct = saved(signed.groupBy("key").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-distinct")
-    entries = saved(distinct.select("key", "size", F.explode("bands").alias("bucket")), "shingle-entries")
-    near = saved(_simhash_pairs(distinct), "shingle-near")
-    forget(distinct)
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("leader")).where("n > 1")
-    members = saved(entries.join(buckets.select("bucket", "leader"), "bucket"), "shingle-members")
-    wanted = saved(members.select("key").union(near.select("src")).union(near.select("dst")).distinct(), "shingle-wanted")
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (src, dst) that no component holds yet."""
+    pairs = pairs.distinct()
+    if roots is None:
+        return pairs
+    for end in ("src", "dst"):
+        pairs = pairs.join(roots.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.where(F.col("src_root") != F.col("dst_root")).select("src", "dst")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose sketches are alike."""
+    both = pairs.join(sketches.toDF("src", "a"), "src").join(sketches.toDF("dst", "b"), "dst")
+    return both.where(unlike_minima(F.col("a"), F.col("b")) <= UNLIKE).select("src", "dst")
+
+
+def _held(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The links among the pairs, after reading the texts of their ends, and of no others, again."""
+    pairs = saved(pairs, "shingle-pairs")
+    wanted = saved(pairs.select("src").union(pairs.select("dst")).distinct().toDF("key"), "shingle-wanted")
     ids = signed.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = saved(ids, "shingle-ids")
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = saved(_sets(texts).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    sets = _sets(texts).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = saved(sets, "shingle-sets")
+    found = saved(verified(pairs, sets), "shingle-links")
+    forget(pairs, wanted, ids, sets)
+    free_shuffles(docs.sparkSession)
+    return found
+
+
+def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """src and dst (keys) that link all similar sets, as far as components go."""
+    columns = [F.first(c).alias(c) for c in ("size", "fp", "bands", "sketch")]
+    distinct = saved(signed.groupBy("key").agg(*columns), "shingle-distinct")
+    sketches = distinct.select("key", "sketch")
+    entries = distinct.select("key", "size", F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = saved(entries.join(buckets, "bucket"), "shingle-crowded")
+    met = crowded.groupBy("key").agg(F.sum("n").alias("met"))
+    leaders = crowded.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key", "size")).alias("leader"))
+    members = saved(crowded.select("bucket", "key", "size").join(leaders, "bucket"), "shingle-members")
+    forget(crowded)
     free_shuffles(docs.sparkSession)
 
-    forget(entries, wanted)
     fit = members.where((F.col("key") != F.col("leader.key")) & _sizes_fit(F.col("size"), F.col("leader.size")))
-    pairs = fit.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")).union(near).distinct()
-    found = saved(verified(pairs, sets), "shingle-links")
+    first = fit.groupBy("key").agg(F.max("leader").alias("leader"))
+    led = [f.select(F.col("leader.key").alias("src"), F.col("key").alias("dst")) for f in (first, fit)]
+    found, roots = None, None
+    for pairs in (_simhash_pairs(distinct), *led):
+        more = _held(_alike(_apart(pairs, roots), sketches), docs, signed)
+        found = more if found is None else found.union(more)
+        if roots is not None:
+            forget(roots)
+        roots = saved(components(found), "shingle-roots")
 
-    roots = saved(components(found), "shingle-roots")
     placed = members.select("bucket", "key", "size", F.col("leader.key").alias("leader"))
     placed = placed.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = saved(placed, "shingle-placed")
-    led = placed.where(F.col("key") == F.col("leader")).select("bucket", F.col("root").alias("led"))
-    apart = placed.join(led, "bucket").where(F.col("root") != F.col("led"))
-    apart = apart.select("bucket", F.col("key").alias("src"), F.col("size").alias("src_size"), F.col("root").alias("src_root"))
-    # pairs with a leader have been compared; two sets outside the leader's component meet twice, and count once
-    across = (
-        apart.join(placed, "bucket")
-        .where((F.col("root") != F.col("src_root")) & (F.col("key") != F.col("leader")) & _sizes_fit(F.col("size"), F.col("src_size")))
-        .select("src", F.col("key").alias("dst"))
+    # buckets of one component have no pair left
+    open_ = placed.groupBy("bucket").agg(F.max_by("root", F.col("key") == F.col("leader")).alias("led"), F.min("root").alias("a"), F.max("root").alias("b"))
+    open_ = open_.where(F.col("a") != F.col("b")).select("bucket", "led")
+    rest = saved(placed.join(open_, "bucket").where(F.col("key") != F.col("leader")).join(sketches, "key"), "shingle-rest")
+    outside = rest.where(F.col("root") != F.col("led")).select(
+        "bucket", F.col("key").alias("src"), F.col("size").alias("src_size"), F.col("root").alias("src_root"), F.col("sketch").alias("src_sketch")
+    )
+    # pairs with a leader have been compared; two sets outside the leader's component meet once
+    across = outside.join(rest, "bucket").where(
+        (F.col("root") != F.col("src_root"))
+        & ((F.col("root") == F.col("led")) | (F.col("src") < F.col("key")))
+        & _sizes_fit(F.col("size"), F.col("src_size"))
+        & (unlike_minima(F.col("sketch"), F.col("src_sketch")) <= UNLIKE)
     )
-    more = saved(verified(across.distinct(), sets), "shingle-links")
-    forget(members, near, sets, roots, placed)
+    more = _held(across.select("src", F.col("key").alias("dst")).distinct(), docs, signed)
+    forget(distinct, members, roots, placed, rest)
     return found.union(more)
 
 
