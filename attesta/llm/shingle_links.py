@@ -12,8 +12,10 @@ SimHash, and the rest from MinHash bands:
    set with one leader of its buckets; with the leaders of all its buckets; then the sets outside their bucket's leader's
    component with all of the bucket. A bucket's leader is the set that meets most others in its buckets, as the original of
    many near copies does. So each pair of a bucket is compared, or known to be in one component.
-5. Pairs go on to be verified if at most ``UNLIKE`` of all minima differ, told by four bits each; a pair of similarity 0.8
-   fails that with a chance of 1 in a million. Every link is verified on the whole sets. Components of the links are the groups.
+5. Pairs go on to be verified if two sketches allow it. At most ``UNLIKE`` of all minima may differ, told by four bits each; a
+   pair of similarity 0.8 fails that with a chance of 1 in a million. And the parities of the sets' members by ``PARITIES``
+   places may differ in no more places than similar sets of these sizes have unshared members: each such member turns one
+   parity, so no similar pair fails that. Every link is verified on the whole sets. Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ ROWS = 5
 SEED = 7
 #: The most of BANDS * ROWS minima that may differ, in their lowest four bits, before a pair counts as unlike.
 UNLIKE = 55
+#: Places of the parity sketch, a multiple of 64. More tell longer sets apart.
+PARITIES = 1024
 #: Parts that the pairs of one set are dealt into.
 _SALTS = 256
 _CHUNK = 2048
@@ -111,6 +115,25 @@ def unlike_minima(a: Column, b: Column) -> Column:
     return sum((one(i) for i in range(1, BANDS * ROWS // 16)), one(0))
 
 
+def parities_of(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` places whether an odd number of members falls there, 64 places in a number."""
+    places = (mixed(shingles) % np.uint64(PARITIES)).astype(np.int64)
+    odd = np.bincount(places, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_be_similar(a: Column, b: Column) -> Column:
+    """Whether sets told by size, sketch and parities may be similar.
+
+    Of sets whose similarity is p / q or more, at most (q - p) / (q + p) of their sizes' sum is not shared.
+    """
+    p, q = LEAST
+    x, y = a["parities"], b["parities"]
+    unshared = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, PARITIES // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    fits = (p + q) * unshared <= (q - p) * (a["size"] + b["size"])
+    return _sizes_fit(a["size"], b["size"]) & fits & (unlike_minima(a["sketch"], b["sketch"]) <= UNLIKE)
+
+
 def simhash_of(shingles: np.ndarray) -> int:
     """The SimHash fingerprint of a set of hashes; 0 for the empty set."""
     ones = np.zeros(64, np.int64)
@@ -149,7 +172,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint), bands and sketch, of every row."""
+    """doc_id, hash (of the text), key and size of its set, fp (its SimHash fingerprint), bands, sketch and parities, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
@@ -164,12 +187,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     _signed([simhash_of(s) for s in sets]),
                     _lists([band_hashes(m) for m in least]),
                     _lists([sketch_of(m) for m in least]),
+                    _lists([parities_of(s) for s in sets]),
                 ],
-                names=["doc_id", "hash", "key", "size", "fp", "bands", "sketch"],
+                names=["doc_id", "hash", "key", "size", "fp", "bands", "sketch", "parities"],
             )
 
     longs = [(n, T.LongType()) for n in ("hash", "key", "size", "fp")]
-    lists = [(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch")]
+    lists = [(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch", "parities")]
     fields = [("doc_id", docs.schema["doc_id"].dataType), *longs, *lists]
     return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
@@ -222,7 +246,7 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (src, dst) whose sketches are alike."""
     both = pairs.join(sketches.toDF("src", "a"), "src").join(sketches.toDF("dst", "b"), "dst")
-    return both.where(unlike_minima(F.col("a"), F.col("b")) <= UNLIKE).select("src", "dst")
+    return both.where(may_be_similar(F.col("a"), F.col("b"))).select("src", "dst")
 
 
 def _held(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -242,9 +266,9 @@ def _held(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """src and dst (keys) that link all similar sets, as far as components go."""
-    columns = [F.first(c).alias(c) for c in ("size", "fp", "bands", "sketch")]
+    columns = [F.first(c).alias(c) for c in ("size", "fp", "bands", "sketch", "parities")]
     distinct = saved(signed.groupBy("key").agg(*columns), "shingle-distinct")
-    sketches = distinct.select("key", "sketch")
+    sketches = distinct.select("key", F.struct("size", "sketch", "parities").alias("told"))
     entries = distinct.select("key", "size", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = saved(entries.join(buckets, "bucket"), "shingle-crowded")
@@ -265,7 +289,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
             forget(roots)
         roots = saved(components(found), "shingle-roots")
 
-    placed = members.select("bucket", "key", "size", F.col("leader.key").alias("leader"))
+    placed = members.select("bucket", "key", F.col("leader.key").alias("leader"))
     placed = placed.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = saved(placed, "shingle-placed")
     # buckets of one component have no pair left
@@ -273,14 +297,13 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     open_ = open_.where(F.col("a") != F.col("b")).select("bucket", "led")
     rest = saved(placed.join(open_, "bucket").where(F.col("key") != F.col("leader")).join(sketches, "key"), "shingle-rest")
     outside = rest.where(F.col("root") != F.col("led")).select(
-        "bucket", F.col("key").alias("src"), F.col("size").alias("src_size"), F.col("root").alias("src_root"), F.col("sketch").alias("src_sketch")
+        "bucket", F.col("key").alias("src"), F.col("root").alias("src_root"), F.col("told").alias("src_told")
     )
     # pairs with a leader have been compared; two sets outside the leader's component meet once
     across = outside.join(rest, "bucket").where(
         (F.col("root") != F.col("src_root"))
         & ((F.col("root") == F.col("led")) | (F.col("src") < F.col("key")))
-        & _sizes_fit(F.col("size"), F.col("src_size"))
-        & (unlike_minima(F.col("sketch"), F.col("src_sketch")) <= UNLIKE)
+        & may_be_similar(F.col("told"), F.col("src_told"))
     )
     more = _held(across.select("src", F.col("key").alias("dst")).distinct(), docs, signed)
     forget(distinct, members, roots, placed, rest)

@@ -100,3 +100,24 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
     assert {r.component_id for r in rows if r.doc_id in (3, 4, 5)} == {3}
     assert shingle_links.near_duplicates(odd_docs.limit(0)).count() == 0
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    """Sets of 1 to 3,000 members, by parities alone: similar pairs all pass, and short sets with little in common don't."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in [1, 2, 9, 10, 40, 150, 700, 3000]:
+        for unshared in [0, 1, size // 12, size // 10, size // 9, size // 2]:
+            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            b = np.unique(np.concatenate([a[unshared:], rng.integers(0, 1 << 63, unshared, np.uint64)]))
+            sets = [(len(x), [0] * 10, shingle_links.parities_of(x).view(np.int64).tolist()) for x in (a, b)]
+            rows.append((shingle_links.similar(a, b), 2 * unshared >= size > 30 and size < 1000, *sets))
+    told = "struct<size:long,sketch:array<long>,parities:array<long>>"
+    pairs = spark.createDataFrame(rows, f"similar boolean, unlike boolean, a {told}, b {told}")
+    got = pairs.select("similar", "unlike", shingle_links.may_be_similar(F.col("a"), F.col("b")).alias("passes")).collect()
+    assert sum(r.similar for r in got) > 20
+    assert all(r.passes for r in got if r.similar)
+    assert not any(r.passes for r in got if r.unlike)
