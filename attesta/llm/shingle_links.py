@@ -351,8 +351,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """All columns of one row of each group of near duplicates: of those with an id the smallest, then that with the least
     hash of its text; of rows alike in both, the smallest in order of their columns, which must be such as can be ordered."""
-    kept = _groups(docs)[1].select("one.doc_id", "one.hash").distinct().toDF("_kept", "_hash")
-    keyed = docs.withColumn("_of", F.xxhash64("text"))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_hash")), "left_semi")
-    one = rows.groupBy("doc_id", "_of").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    keys = ["_no_id", "_id", "_of"]
+    no_id, an_id = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = _groups(docs)[1].select("one.doc_id", "one.hash").select(no_id.alias("_no_id"), an_id.alias("_id"), F.col("hash").alias("_of")).distinct()
+    keyed = docs.withColumns({"_no_id": no_id, "_id": an_id, "_of": F.xxhash64("text")})
+    # repeated rows meet before texts are shuffled, and the join finds them dealt by its own keys
+    one = keyed.groupBy(keys).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")).join(kept, keys, "left_semi")
     return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
