@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions import text as tx
 
+# Dates in figures, day first, and month first.
+_MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+DATE_PATTERNS = [r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", rf"(?i)\b\d{{1,2}}\s+{_MONTHS}\s+\d{{4}}\b", rf"(?i)\b{_MONTHS}\s+\d{{1,2}},?\s+\d{{4}}\b"]
+# Words that make a date near them a deadline.
+DEADLINE_WORDS = ["deadline", "within", "respond", "response", "reply", "time limit", "period", "days", "months", "due", "on or before"]
+#: Characters before and after a date that are read with it.
+AROUND = 250
+# What to do about an objection, by its category, and about any other.
+ACTIONS = {
+    "novelty": "Review each cited document against every identified claim limitation and verify the specific disclosure relied upon.",
+    "inventive_step": "Review the cited references, technical differences, combination rationale, and supporting evidence before preparing a response.",
+    "section_3": "Identify the exact Section 3 provision cited and verify the factual and statutory basis of the objection.",
+    "clarity": "Review the identified claim language for ambiguity, antecedent basis, terminology, relationships, and consistency with the specification.",
+    "support": "Map the affected claim limitations to explicit supporting passages in the complete specification.",
+    "sufficiency": "Review whether the specification provides sufficient technical disclosure for the claimed subject matter.",
+    "unity": "Review the identified inventions and their technical relationships to determine the appropriate prosecution response.",
+    "amendment": "Compare proposed or requested amendments with the original disclosure and create an amendment support map.",
+}
+OTHER_ACTION = "Review the objection and identify the specific documentary evidence required for response."
+HIGH_PRIORITY = ["novelty", "inventive_step", "section_3"]
+
 
 def claim_numbers(text: Column) -> Column:
     """The distinct numbers after "claim(s)": lists, and ranges of up to 100 with a dash or "to", spread out."""
@@ -44,6 +65,35 @@ def objections(blocks: DataFrame, lexicon: dict[str, list[str]], keys: list[str]
     return rows.select(*keys, first["category"].alias("category"), first["n_terms"].alias("n_terms"), F.size("f").alias("n_categories"))
 
 
+def deadlines(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The keys, date_text and context of every date with a deadline's word within ``AROUND`` characters.
+
+    The keys name a text: a date and context that recur there, whatever their case, are one row, the first. Null and empty
+    texts have none. A regular expression reads the context on both sides without taking it, so near dates keep theirs.
+    """
+
+    def found(k: int, p: str) -> Column:
+        # the first look ahead passes by quickly where no date begins
+        around = rf"(?s)(?={p})(?<=(\A.{{0,{AROUND - 1}}}|.{{{AROUND}}}))({p})(?=(.{{0,{AROUND}}}))"
+        before, date, after = (F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(around), F.lit(i)) for i in (1, 2, 3))
+        parts = F.arrays_zip(before.alias("b"), date.alias("d"), after.alias("a"))
+        return F.transform(parts, lambda z, i: F.struct(F.lit(k).alias("k"), i.alias("i"), z["b"].alias("b"), z["d"].alias("d"), z["a"].alias("a")))
+
+    each = texts.select(*keys, F.explode(F.concat(*[found(k, p) for k, p in enumerate(DATE_PATTERNS)])).alias("f"))
+    rows = each.select(*keys, F.struct("f.k", "f.i").alias("_at"), tx.clean(F.col("f.d")).alias("date_text"), tx.clean(F.concat("f.b", "f.d", "f.a")).alias("context"))
+    rows = rows.where(F.lower("context").rlike("|".join(DEADLINE_WORDS)))
+    first = rows.groupBy(*keys, F.lower("date_text").alias("_d"), F.lower("context").alias("_c")).agg(F.min(F.struct("_at", "date_text", "context")).alias("f"))
+    return first.select(*keys, "f.date_text", "f.context")
+
+
+def response_actions(objections: DataFrame, category: str = "category") -> DataFrame:
+    """Objections with the action that answers their category, and its priority. A null category is like an unknown one."""
+    known = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    action = F.coalesce(F.try_element_at(known, F.coalesce(category, F.lit(""))), F.lit(OTHER_ACTION))
+    priority = F.when(F.col(category).isin(HIGH_PRIORITY), "high").otherwise("review")
+    return objections.withColumns({"action": action, "priority": priority})
+
+
 def provision_search(queries: DataFrame, provisions: DataFrame, keys: list[str], query_col: str = "query") -> DataFrame:
     """The keys, provision_id and score: 5 if the provision's text holds the whole query, 1 for each of its tokens.
 

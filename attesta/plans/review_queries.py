@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import review as ops
+from attesta.operators import reports, review as ops
 from attesta.plans import sql
 from attesta.plans.claim_queries import _CLAIMS, _TURNS, _versions, claims
 from attesta.plans.evidence_queries import _SCORES, CLAIM, _evidence, reference_pairs
 from attesta.plans.graph_queries import _GRAPH, _graph
 from attesta.plans.registry import ORACLE_SQL, query
-from attesta.plans.risk_queries import _SIGNALS, _signals
+from attesta.plans.risk_queries import _OBJECTIONS, _SIGNALS, _objections, _signals
 from attesta.plans.search_queries import _cosine_sql, _dense
 from attesta.session import table
 from attesta.sources import results
@@ -28,6 +28,35 @@ def fer_citations(spark, sf_dir):
     return ops.citations(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CITED).alias("text")), ["o_orderkey"])
 
 
+_DUE = (
+    "'Filed ' || (1 + o_orderkey % 28) || '/' || (1 + o_custkey % 12) || '/2023 ' || repeat('lorem  ipsum ', CAST(o_orderkey % 60 AS INT)) || 'Reply by 1' || (o_orderkey % 9) || "
+    "' March 2024 or MARCH 3, 2025 ' || repeat('dolor ', CAST(o_custkey % 70 AS INT)) || (o_orderkey % 30) || '-7-21 ' || repeat('sit ', CAST(o_custkey % 200 AS INT)) || '1-2-2020'"
+)
+_DATES = " UNION ALL ".join(f"SELECT o_orderkey, t, {k} AS k, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM o" for k, p in enumerate(reports.DATE_PATTERNS))
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, {_DUE} AS t FROM orders), d AS ({_DATES}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM d),
+a AS (SELECT *, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS pos FROM i),
+c AS (SELECT o_orderkey, k, i, {sql.clean('m')} AS date_text, {sql.clean('substring(t, CAST(greatest(pos - 250, 0) + 1 AS BIGINT), CAST(pos + length(m) + 250 - greatest(pos - 250, 0) AS BIGINT))')} AS context FROM a)
+SELECT o_orderkey, date_text, context FROM c WHERE len(list_filter({reports.DEADLINE_WORDS}, lambda w: contains(lower(context), w))) > 0
+QUALIFY row_number() OVER (PARTITION BY o_orderkey, lower(date_text), lower(context) ORDER BY k, i) = 1""")
+def fer_deadlines(spark, sf_dir):
+    return reports.deadlines(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DUE).alias("text")), ["o_orderkey"])
+
+
+_ACTIONS = ", ".join(f"('{c}', '{a}')" for c, a in reports.ACTIONS.items())
+
+
+@query(f"""
+WITH {_OBJECTIONS}, acts(category, action) AS (VALUES {_ACTIONS})
+SELECT conv_id, turn, obj.category, coalesce(action, '{reports.OTHER_ACTION}') AS action, CASE WHEN obj.category IN ('novelty', 'inventive_step', 'section_3') THEN 'high' ELSE 'review' END AS priority
+FROM obj LEFT JOIN acts ON obj.category = acts.category""")
+def fer_response_matrix(spark, sf_dir):
+    return reports.response_actions(_objections(spark, sf_dir)).select("conv_id", "turn", "category", "action", "priority")
+
+
 def _has(x: str, terms: list[str]) -> str:
     return f"list_filter({terms}, lambda t: contains({x}, t))"
 

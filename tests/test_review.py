@@ -1,6 +1,6 @@
 """Operators on small tables with values worked out by hand: nulls, empty texts, ties, repeated rows, clashing names."""
 
-from attesta.operators import amendments, evidence, review
+from attesta.operators import amendments, evidence, reports, review
 from attesta.sources import results
 from attesta.streaming import ledger
 
@@ -83,3 +83,20 @@ def test_ledger_takes_each_content_once(spark, tmp_path):
         query = ledger.append(ledger.entries(stream, "kind", "operation", "payload", "at"), str(tmp_path / "ledger"), str(tmp_path / "checkpoint"))
         assert query.awaitTermination(120)
     assert sorted(r.kind for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == ["a", "b"]
+
+
+def test_deadlines_of_odd_texts(spark):
+    far = "x" * 260
+    texts = [(1, None), (2, ""), (3, "1/2/23"), (4, "due 1/2/23"), (5, f"due {far} 1/2/23"), (6, f"1/2/23 {far} due 3-4-2024, 5 may 2025"), (4, "due 1/2/23"), (7, "😀due May 5, 2025")]
+    found = reports.deadlines(spark.createDataFrame(texts, "k long, text string"), ["k"])
+    assert [r[:2] for r in rows(found, "k", "date_text")] == [(4, "1/2/23"), (6, "3-4-2024"), (6, "5 may 2025"), (7, "May 5, 2025")]
+    assert {r.context for r in found.where("k = 6").collect() if r.date_text == "5 may 2025"} == {"x" * 235 + " due 3-4-2024, 5 may 2025"}
+    assert {r.context for r in found.where("k = 7").collect()} == {"😀due May 5, 2025"}
+    assert reports.deadlines(spark.createDataFrame([], "k long, text string"), ["k"]).count() == 0
+
+
+def test_actions_for_unknown_categories(spark):
+    found = reports.response_actions(spark.createDataFrame([("section_3",), ("new",), (None,)], "category string"))
+    assert sorted(((r.category or "", r.action, r.priority) for r in found.collect())) == sorted(
+        [("section_3", reports.ACTIONS["section_3"], "high"), ("new", reports.OTHER_ACTION, "review"), ("", reports.OTHER_ACTION, "review")]
+    )
