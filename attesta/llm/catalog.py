@@ -3,6 +3,7 @@
 from attesta.llm.ann import op10_ann_cross_polytope
 from attesta.llm.byte_bpe import op6_byte_bpe
 from attesta.llm.language_id import op3_language_id
+from attesta.llm.merkle import OP11_SQL, op11_merkle_manifest
 from attesta.llm.mixing import op2_mixing
 from attesta.llm.quality_mil import op1_quality_mil
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ann_cross_polytope": op10_ann_cross_polytope,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL: dict = {
     "op5_secret_scan": op5_sql(),
     "op8_quality_rules": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
