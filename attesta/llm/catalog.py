@@ -5,12 +5,14 @@ from attesta.llm.byte_bpe import op6_byte_bpe
 from attesta.llm.language_id import op3_language_id
 from attesta.llm.merkle import OP11_SQL, op11_merkle_manifest
 from attesta.llm.mixing import op2_mixing
+from attesta.llm.pivot_index import op13_embedding_near_dedup
 from attesta.llm.quality_mil import op1_quality_mil
 from attesta.llm.quality_rules import OP8_SQL, op8_quality_rules
 from attesta.llm.secret_scan import op5_secret_scan, oracle_sql as op5_sql
 from attesta.llm.simhash import op7_simhash_near_dedup
 from attesta.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from attesta.llm.token_files import op4_token_files
+from attesta.llm.whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_quality_mil": op1_quality_mil,
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ann_cross_polytope": op10_ann_cross_polytope,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 ORACLE_SQL: dict = {
     "op5_secret_scan": op5_sql(),
