@@ -195,14 +195,53 @@ def section_screen_scores(spark, sf_dir):
     return rules.section_scores(rows, SECTIONS, ["family", "number", "part"], "text", "specification")
 
 
+def _claim_versions(spark, sf_dir):
+    """Claims, and an amended version of them: each goes on by one number, some words change, some limitations come and go."""
+    old = claims(spark, sf_dir).select("family", F.col("number").cast("long").alias("number"), "text")
+    text = F.regexp_replace("text", "substantially", "fully")
+    text = F.when(F.col("family") % 5 == 0, F.concat(text, F.lit("; and a display connected to the controller"))).otherwise(text)
+    text = F.when(F.col("family") % 7 == 0, F.regexp_replace(text, " coupled to the housing; and", " coupled to a frame of steel and glass;")).otherwise(text)
+    text = F.when(F.col("family") % 11 == 0, F.regexp_replace(text, "; and a [^;]* configured to", "; configured to")).otherwise(text)
+    new = old.where("family % 13 > 0 OR number > 1").select("family", (F.col("number") + 1).alias("number"), text.alias("text"))
+    return old, new
+
+
 @query()
 def amendment_match(spark, sf_dir):
     from attesta.operators.amendments import match_versions
 
-    rows = claims(spark, sf_dir)
-    old = rows.select("family", F.col("number").cast("long").alias("number"), "text")
-    new = old.select("family", (F.col("number") + 1).alias("number"), F.regexp_replace("text", "substantially", "fully").alias("text"))
-    return match_versions(old, new)
+    return match_versions(*_claim_versions(spark, sf_dir))
+
+
+@query()
+def amendment_limitation_changes(spark, sf_dir):
+    from attesta.operators.amendments import compare_versions
+
+    return compare_versions(*_claim_versions(spark, sf_dir)).limitations
+
+
+@query()
+def amendment_claim_changes(spark, sf_dir):
+    from attesta.operators.amendments import compare_versions
+
+    rows = compare_versions(*_claim_versions(spark, sf_dir)).claims
+    flat = {c: joined(c) for c in ("old_dependencies", "new_dependencies")}
+    return rows.withColumns(flat | {"review_flags": F.array_join("review_flags", " | ")})
+
+
+@query()
+def amendment_summary(spark, sf_dir):
+    from attesta.operators.amendments import compare_versions, summary
+
+    return summary(compare_versions(*_claim_versions(spark, sf_dir)).claims)
+
+
+@query()
+def amendment_review_map(spark, sf_dir):
+    from attesta.operators.amendments import compare_versions, review_map
+
+    rows = review_map(compare_versions(*_claim_versions(spark, sf_dir)).claims)
+    return rows.withColumn("review_flags", F.array_join("review_flags", " | "))
 
 
 @query()
