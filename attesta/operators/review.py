@@ -54,7 +54,7 @@ def terms_in(text: Column, terms: list[str]) -> Column:
 
 def technical_signals(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """The keys, problems and effects (comma-joined terms), kinds of technical relationship, and whether there is any."""
-    low = texts.select(*keys, F.lower(tx.clean(F.col(text_col))).alias("_low"))
+    low = texts.select(*keys, tx.normalize(F.col(text_col)).alias("_low"))
     t = F.col("_low")
     kinds = F.concat_ws(",", *[F.when(F.size(terms_in(t, words)) > 0, F.lit(kind)) for kind, words in RELATIONSHIPS.items()])
     rows = low.select(*keys, F.array_join(terms_in(t, PROBLEM_TERMS), ",").alias("problems"), F.array_join(terms_in(t, EFFECT_TERMS), ",").alias("effects"), kinds.alias("relationships"))
@@ -64,12 +64,11 @@ def technical_signals(texts: DataFrame, keys: list[str], text_col: str = "text")
 def motivation(pairs: DataFrame, keys: list[str], reference_col: str, target_col: str) -> DataFrame:
     """The keys, signals (comma-joined) and score: .15 a signal up to 1, .25 more for words of combination, 1 at most.
 
-    Three words of four letters or more in common count as a signal of shared vocabulary.
+    Texts are normalised first. Three meaningful tokens in common count as a signal of shared vocabulary.
     """
+    tokens = [tx.meaningful_tokens(F.col(c), tx.COMBINATION_STOP_WORDS) for c in (reference_col, target_col)]
     rows = pairs.select(
-        *keys,
-        terms_in(F.lower(tx.clean(F.col(reference_col))), MOTIVATION_TERMS).alias("_s"),
-        F.size(F.array_intersect(tx.letter_words(F.col(reference_col), 4), tx.letter_words(F.col(target_col), 4))).alias("_n"),
+        *keys, terms_in(tx.normalize(F.col(reference_col)), MOTIVATION_TERMS).alias("_s"), F.size(F.array_intersect(*tokens)).alias("_n")
     )
     shared = F.when(F.col("_n") >= 3, F.array(F.lit("shared_technical_vocabulary"))).otherwise(F.array().cast("array<string>"))
     rows = rows.select(*keys, F.concat("_s", shared).alias("_s"))

@@ -80,7 +80,7 @@ def section_scores(claims: DataFrame, lexicons: dict[str, list[str]], keys: list
     rows = base.select(*keys, F.explode(each).alias("x"))
     score = F.least(F.lit(1.0), F.least(F.lit(0.7), 0.2 * F.col("x.c")) + F.least(F.lit(0.3), 0.05 * F.col("x.s")))
     rows = rows.select(*keys, "x.section", F.round(score, 4).alias("score")).where("score > 0")
-    return rows.withColumn("status", sim.ladder(F.col("score"), [(0.7, "STRONG_SIGNAL"), (0.4, "REVIEW_SIGNAL")], "WEAK_SIGNAL"))
+    return rows.withColumn("status", sim.ladder(F.col("score"), [(0.7, "STRONG_REVIEW_SIGNAL"), (0.4, "REVIEW_SIGNAL")], "WEAK_REVIEW_SIGNAL"))
 
 
 def added_terms(pairs: DataFrame, keys: list[str], old_col: str, new_col: str) -> DataFrame:

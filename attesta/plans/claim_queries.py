@@ -189,7 +189,7 @@ WITH {_CLAIMS}, s(section, ts) AS (VALUES {_SECTIONS}),
 c AS (SELECT family, number, part, {sql.normalize_unicode('text')} AS c, {sql.normalize_unicode("'the standard ' || CAST(part AS VARCHAR) || ' sensor report'")} AS sp FROM claims),
 x AS (SELECT family, number, part, section, len(list_filter(ts, lambda t: contains(c, t))) AS a, len(list_filter(ts, lambda t: contains(sp, t))) AS b FROM c, s),
 y AS (SELECT *, CAST(round(least(1.0, least(0.7, 0.2 * a) + least(0.3, 0.05 * b)), 4) AS DOUBLE) AS score FROM x)
-SELECT family, number, part, section, score, {sql.ladder('score', [(0.7, 'STRONG_SIGNAL'), (0.4, 'REVIEW_SIGNAL')], 'WEAK_SIGNAL')} AS status FROM y WHERE score > 0""")
+SELECT family, number, part, section, score, {sql.ladder('score', [(0.7, 'STRONG_REVIEW_SIGNAL'), (0.4, 'REVIEW_SIGNAL')], 'WEAK_REVIEW_SIGNAL')} AS status FROM y WHERE score > 0""")
 def section_screen_scores(spark, sf_dir):
     rows = claims(spark, sf_dir).withColumn("specification", F.concat(F.lit("the standard "), F.col("part").cast("string"), F.lit(" sensor report")))
     return rules.section_scores(rows, SECTIONS, ["family", "number", "part"], "text", "specification")

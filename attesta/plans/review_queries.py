@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
 from attesta.operators import reports, review as ops
 from attesta.plans import sql
 from attesta.plans.claim_queries import _CLAIMS, _TURNS, _versions, claims
@@ -66,7 +67,7 @@ _KINDS = " || ".join(f"CASE WHEN len({_has('low', words)}) > 0 THEN '{kind},' EL
 
 
 @query(f"""
-WITH {_CLAIMS}, l AS (SELECT family, number, part, lower({sql.clean(_SPEC)}) AS low FROM claims),
+WITH {_CLAIMS}, l AS (SELECT family, number, part, {sql.normalize(_SPEC)} AS low FROM claims),
 k AS (SELECT family, number, part, array_to_string({_has('low', ops.PROBLEM_TERMS)}, ',') AS problems, array_to_string({_has('low', ops.EFFECT_TERMS)}, ',') AS effects, rtrim({_KINDS}, ',') AS relationships FROM l)
 SELECT *, relationships <> '' AS related FROM k""")
 def technical_signals(spark, sf_dir):
@@ -74,12 +75,12 @@ def technical_signals(spark, sf_dir):
 
 
 _REF = "old || CASE turn % 2 WHEN 1 THEN ' which may be combined, optionally, to reduce cost' ELSE '' END"
-_SHARED = f"len(list_intersect({sql.plain_words('ref', '[a-z]{4,}')}, {sql.plain_words('new', '[a-z]{4,}')}))"
+_SHARED = f"len(list_intersect(list_distinct({sql.meaningful('ref', tx.COMBINATION_STOP_WORDS)}), list_distinct({sql.meaningful('new', tx.COMBINATION_STOP_WORDS)})))"
 
 
 @query(f"""
 WITH {_TURNS}, r AS (SELECT conv_id, turn, {_REF} AS ref, new FROM turns),
-s AS (SELECT conv_id, turn, list_concat({_has(f"lower({sql.clean('ref')})", ops.MOTIVATION_TERMS)}, CASE WHEN {_SHARED} >= 3 THEN ['shared_technical_vocabulary'] ELSE [] END) AS s FROM r)
+s AS (SELECT conv_id, turn, list_concat({_has(sql.normalize('ref'), ops.MOTIVATION_TERMS)}, CASE WHEN {_SHARED} >= 3 THEN ['shared_technical_vocabulary'] ELSE [] END) AS s FROM r)
 SELECT conv_id, turn, array_to_string(s, ',') AS signals, CAST(round(least(1.0, least(1.0, 0.15 * len(s)) + CASE WHEN list_has_any(s, {ops.COMBINATION_TERMS}) THEN 0.25 ELSE 0.0 END), 4) AS DOUBLE) AS score FROM s""")
 def motivation_scores(spark, sf_dir):
     return ops.motivation(_versions(spark, sf_dir).withColumn("ref", F.expr(_REF)), ["conv_id", "turn"], "ref", "new")
@@ -133,11 +134,11 @@ def signals_prioritized(spark, sf_dir):
 
 @query(f"""
 WITH s AS ({ORACLE_SQL['section_screen_scores']})
-SELECT section, count(*) AS total_findings, count(*) FILTER (status = 'STRONG_SIGNAL') AS n_strong, count(*) FILTER (status = 'REVIEW_SIGNAL') AS n_review, count(*) FILTER (status = 'WEAK_SIGNAL') AS n_weak FROM s GROUP BY 1""")
+SELECT section, count(*) AS total_findings, count(*) FILTER (status = 'STRONG_REVIEW_SIGNAL') AS n_strong, count(*) FILTER (status = 'REVIEW_SIGNAL') AS n_review, count(*) FILTER (status = 'WEAK_REVIEW_SIGNAL') AS n_weak FROM s GROUP BY 1""")
 def section_dashboard(spark, sf_dir):
     from attesta.plans.claim_queries import section_screen_scores
 
-    n = {c: F.count_if(F.col("status") == s).alias(c) for c, s in (("n_strong", "STRONG_SIGNAL"), ("n_review", "REVIEW_SIGNAL"), ("n_weak", "WEAK_SIGNAL"))}
+    n = {c: F.count_if(F.col("status") == s).alias(c) for c, s in (("n_strong", "STRONG_REVIEW_SIGNAL"), ("n_review", "REVIEW_SIGNAL"), ("n_weak", "WEAK_REVIEW_SIGNAL"))}
     return section_screen_scores(spark, sf_dir).groupBy("section").agg(F.count("*").alias("total_findings"), *n.values())
 
 
@@ -187,10 +188,76 @@ def graph_find_nodes(spark, sf_dir):
     return ops.find_nodes(_graph(spark, sf_dir)[0], "PART", "Ring").select("node_id", "label")
 
 
-_NAMES = results.FIELDS["publication_number"]
-_RAW = "'{\"' || CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END || '\": \"P  ' || p_partkey || '\", \"' || CASE p_partkey % 2 WHEN 0 THEN 'title' ELSE 'name' END || '\": \" ' || p_name || ' \"}'"
+#: Answers of providers over parts, ten results each, under other names and in other shapes by turns.
+_PAYLOAD_ITEM = """'{' || CASE p_partkey % 5 WHEN 0 THEN '"title": "", "name": ' WHEN 1 THEN '"document_title": ' WHEN 2 THEN '"patent_title": null, "title": ' WHEN 3 THEN '"title": [], "document_title": {}, "name": ' ELSE '"name": ' END
+ || '" ' || p_name || '  x ", ' || CASE p_partkey % 6 WHEN 0 THEN '"pub_number": "' WHEN 1 THEN '"document_number": "' WHEN 2 THEN '"publicationNumber": "' WHEN 3 THEN '"patent_number": "' WHEN 4 THEN '"patent_no": "' ELSE '"application_no": "' END
+ || 'P ' || p_partkey || '", ' || CASE p_partkey % 3 WHEN 0 THEN '"inventors": ["' || p_brand || '", " ", "B  C"], "owner": "A; B|C,"' WHEN 1 THEN '"inventor": "' || p_brand || '; Z", "assignees": []' ELSE '"applicant": "X", "ipc": ["G06F"]' END
+ || ', "score": ' || CASE p_partkey % 3 WHEN 0 THEN '"0.5"' WHEN 1 THEN CAST(p_size AS VARCHAR(9)) ELSE '"high"' END || ', "summary": "' || p_type || '"}'"""
+_PAYLOAD = """CASE k % 6 WHEN 0 THEN '[' || body || ', 7, "x"]' WHEN 1 THEN '{"results": [' || body || ']}' WHEN 2 THEN '{"results": "none", "items": [' || body || ']}' WHEN 3 THEN '{"n": 1, "records": [' || body || ']}' WHEN 4 THEN '{"documents": [], "data": [' || body || ']}' ELSE '{"broken": [' || body END"""
+_ANSWERS = f"""
+parts AS (SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS k, p_partkey, {_PAYLOAD_ITEM} AS j FROM part),
+bodies AS (SELECT k, string_agg(j, ', ' ORDER BY p_partkey) AS body FROM parts GROUP BY k),
+answers AS (SELECT k, {_PAYLOAD} AS raw FROM bodies),
+valid AS (SELECT k, CAST(raw AS JSON) AS j FROM answers WHERE json_valid(raw)),
+lists AS (SELECT k, CASE WHEN json_type(j) = 'ARRAY' THEN j {' '.join(f"WHEN json_type(j, '$.{n}') = 'ARRAY' THEN json_extract(j, '$.{n}')" for n in results.RESULT_KEYS)} END AS l FROM valid),
+items AS (SELECT k, unnest(range(0, len(e))) AS place, unnest(e) AS item FROM (SELECT k, CAST(l AS JSON[]) AS e FROM lists WHERE l IS NOT NULL)),
+objects AS (SELECT k, CAST(place AS INTEGER) AS place, item FROM items WHERE json_type(item) = 'OBJECT')"""
 
 
-@query(f"SELECT p_partkey, 'P ' || p_partkey AS publication_number, {sql.clean('p_name')} AS title, '' AS abstract FROM part")
+def _first_sql(names: list[str]) -> str:
+    values = ", ".join(f"CASE WHEN json_extract_string(item, '$.{n}') NOT IN ('', '[]', '{{}}') THEN json_extract(item, '$.{n}') END" for n in names)
+    return f"coalesce({values})"
+
+
+def _text_sql(names: list[str]) -> str:
+    return sql.clean(f"json_extract_string({_first_sql(names)}, '$')")
+
+
+def _list_sql(names: list[str]) -> str:
+    x = _first_sql(names)
+    found = f"CASE WHEN json_type({x}) = 'ARRAY' THEN json_extract_string({x}, '$[*]') ELSE regexp_split_to_array(json_extract_string({x}, '$'), '[;|,]') END"
+    return f"array_to_string(list_filter(list_transform(coalesce({found}, []), lambda v: {sql.clean('v')}), lambda v: v <> ''), ';')"
+
+
+_RESULT_SQL = ", ".join(
+    [f"{_text_sql(n)} AS {c}" for c, n in results.FIELDS.items()]
+    + [f"{_list_sql(n)} AS {c}" for c, n in results.LISTS.items()]
+    + [f"coalesce(TRY_CAST(json_extract_string({_first_sql(results.SCORES)}, '$') AS DOUBLE), 0.0) AS relevance_score"]
+)
+
+
+def _answers(spark, sf_dir):
+    """k and raw: an answer of a provider for ten parts, made from the table, as its files would hold it."""
+    item = _PAYLOAD_ITEM.replace("VARCHAR(9)", "STRING")
+    parts = table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("k"), "p_partkey", F.expr(item).alias("j"))
+    bodies = parts.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", "j")))["j"], ", ").alias("body"))
+    return bodies.select("k", F.expr(_PAYLOAD).alias("raw"))
+
+
+def _flat(rows):
+    return rows.withColumns({c: F.array_join(c, ";") for c in results.LISTS})
+
+
+@query(f"WITH {_ANSWERS} SELECT k, place, {_RESULT_SQL} FROM objects")
+def provider_results(spark, sf_dir):
+    return _flat(results.normalized_items(results.items(_answers(spark, sf_dir), ["k"]), ["k", "place"]))
+
+
+@query(f"WITH objects AS (SELECT p_partkey, CAST({_PAYLOAD_ITEM} AS JSON) AS item FROM part) SELECT p_partkey, {_RESULT_SQL} FROM objects")
 def results_normalized(spark, sf_dir):
-    return results.normalized(table(spark, sf_dir, "part").select("p_partkey", F.expr(_RAW).alias("raw")), ["p_partkey"])
+    item = _PAYLOAD_ITEM.replace("VARCHAR(9)", "STRING")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(item).alias("raw"))
+    return _flat(results.normalized(rows, ["p_partkey"]))
+
+
+#: What is searched for among the results that files hold.
+LOCAL_QUERY = "large ring with Brass plated bolt in it"
+_LOCAL_TEXT = "lower(" + " || ' ' || ".join(sql.clean(f"json_extract_string(item, '$.{f}')") for f in results.SEARCHED) + ")"
+
+
+@query(f"""
+WITH {_ANSWERS}, w AS (SELECT unnest({sorted({x.lower() for x in LOCAL_QUERY.split() if len(x) >= 3})}) AS w),
+s AS (SELECT k, place, count(*) FILTER (contains({_LOCAL_TEXT}, w)) / CAST(count(*) AS DOUBLE) AS score FROM objects, w GROUP BY k, place)
+SELECT k, place, score FROM s WHERE score > 0 ORDER BY score DESC, k, place LIMIT 20""")
+def provider_local_search(spark, sf_dir):
+    return results.search_local(results.items(_answers(spark, sf_dir), ["k"]), ["k", "place"], LOCAL_QUERY)
