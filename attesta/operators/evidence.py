@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import similarity as sim, text as tx
-from attesta.operators.search import shared_tokens, top_k
+from attesta.operators.search import shared_tokens, similar_sets, top_k
 
 # Patterns that speak against a limitation.
 CONTRADICTION_PATTERNS = [
@@ -33,7 +33,8 @@ def sentence_passages(docs: DataFrame, least: int = 8) -> DataFrame:
 
 
 def window_passages(docs: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame:
-    parts = docs.select("doc_id", tx.sentences(F.col("text"), least=8).alias("s"))
+    """doc_id, passage (from 0) and text: windows of sentences, their ends kept, that overlap."""
+    parts = docs.select("doc_id", tx.sentences_with_ends(F.col("text")).alias("s"))
     return parts.select("doc_id", F.posexplode(tx.sentence_windows(F.col("s"), size, overlap)).alias("passage", "text"))
 
 
@@ -93,24 +94,45 @@ def chart(limitations: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``documents`` has passages' rows doc_id, passage, text. Scores: Jaccard of tokens, plus .4 if the passage holds the whole
     normalised limitation, 1 at most; rounded to four places. Pairs that aren't here are NOT_FOUND: there are as many as
-    limitations times documents, so that they are counted (see ``chart_statistics``) and not laid out.
+    limitations times documents, so that they are counted (see ``chart_statistics``) and not laid out. An empty limitation
+    is held by nothing.
     """
-    left = limitations.select("item_id", tx.normalize_unicode(F.col("text")).alias("whole"))
-    left = left.withColumn("tokens", F.filter(tx.words_in(F.col("whole")), lambda w: F.length(w) >= 2))
-    right = documents.select("doc_id", "passage", tx.normalize_unicode(F.col("text")).alias("normal"))
-    right = right.withColumn("tokens", F.filter(tx.words_in(F.col("normal")), lambda w: F.length(w) >= 2))
-    pairs = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"])
-    jaccard = F.col("shared").cast("double") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
-    # a passage that holds the whole limitation shares all of its tokens but the first and the last, which may be parts of words
-    held = pairs.where(F.col("shared") >= F.col("n_left") - 2).select("item_id", "doc_id", "passage")
-    held = held.join(left.select("item_id", "whole"), "item_id").join(right.select("doc_id", "passage", "normal"), ["doc_id", "passage"])
-    held = held.where(F.contains("normal", "whole")).select("item_id", "doc_id", "passage", F.lit(WHOLE_BONUS).alias("bonus"))
-    rows = pairs.select("item_id", "doc_id", "passage", jaccard.alias("j")).join(held, ["item_id", "doc_id", "passage"], "left")
-    score = F.least(F.lit(1.0), F.col("j") + F.coalesce("bonus", F.lit(0.0)))
-    best = rows.groupBy("item_id", "doc_id").agg(F.round(F.max(score), 4).alias("score"))
+
+    def side(rows: DataFrame, keys: list[str]) -> DataFrame:
+        normal = rows.select(*keys, tx.normalize_unicode(F.col("text")).alias("normal")).withColumn("words", tx.words_in(F.col("normal")))
+        return normal.withColumn("tokens", F.filter("words", lambda w: F.length(w) >= 2))
+
+    left, right = side(limitations, ["item_id"]), side(documents, ["doc_id", "passage"])
+    least = sim.CHART_STEPS[-1][0] - 1e-4
+    pairs = similar_sets(left, right, ["item_id"], ["doc_id", "passage"], least).unionByName(holders(left, right)).distinct()
+    rows = pairs.join(left.select("item_id", F.col("normal").alias("whole"), F.col("tokens").alias("lt")), "item_id").join(right, ["doc_id", "passage"])
+    bonus = F.when((F.col("whole") != "") & F.contains("normal", "whole"), WHOLE_BONUS).otherwise(0.0)
+    score = F.least(F.lit(1.0), sim.jaccard(F.col("lt"), F.col("tokens")) + bonus)
+    best = rows.select("item_id", "doc_id", score.alias("score")).groupBy("item_id", "doc_id").agg(F.round(F.max("score"), 4).alias("score"))
     return best.withColumn("status", sim.chart_status(F.col("score"))).where("status <> 'NOT_FOUND'")
 
 
+def holders(left: DataFrame, right: DataFrame) -> DataFrame:
+    """item_id, doc_id and passage of all passages (words) that can hold a whole limitation (words), also inside words.
+
+    Limitations of several words are looked up as runs of words are (``phrase_candidates``). One of a single word is looked up
+    by its first three characters among those that the passages' words hold; no such limitation, no such index.
+    """
+    several = left.where(F.size("words") > 1).select("item_id", _seam_of_longest(F.col("words")).alias("_key"))
+    held = right.select("doc_id", "passage", F.explode(_all_seams(F.col("words"))).alias("_key"))
+    found = several.join(held, "_key").select("item_id", "doc_id", "passage").distinct()
+    single = left.where(F.size("words") == 1).select("item_id", F.substring(F.get("words", F.lit(0)), 1, 3).alias("_key"))
+    if single.isEmpty():
+        return found
+
+    def pieces(word: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word))
+        return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(word, i, F.lit(n)) for n in (1, 2, 3)])))
+
+    held = right.select("doc_id", "passage", F.explode(F.array_distinct(F.flatten(F.transform("words", pieces)))).alias("_key"))
+    return found.unionByName(single.join(held, "_key").select("item_id", "doc_id", "passage").distinct())
+
+
 def chart_statistics(rows: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
     """Counts by status and coverage, (EXPLICIT + PARTIAL) / all, and weighted coverage, (EXPLICIT + PARTIAL / 2) / all.
 
@@ -144,31 +166,86 @@ def rank_documents(rows: DataFrame, sizes: DataFrame, claim: str = "claim") -> D
 # retrieval ----------------------------------------------------------------------------------------------------------
 
 
+def _seam(left: Column, right: Column, left_end: bool = True, right_end: bool = True) -> Column:
+    """A key of two words in a row: the last three characters of the one and the first three of the other; without an end
+    that is not wanted, or has fewer."""
+    a = F.right(left, F.lit(3)) if left_end else F.lit("")
+    b = F.substring(right, 1, 3) if right_end else F.lit("")
+    return F.xxhash64(a, b)
+
+
+def _seam_of_longest(words: Column) -> Column:
+    """The key between the two neighbours among words (two or more) that have most characters together."""
+    starts = F.sequence(F.lit(1), F.size(words) - 1)
+    pair = F.array_max(F.transform(starts, lambda i: F.struct((F.length(F.get(words, i - 1)) + F.length(F.get(words, i))).alias("n"), F.get(words, i - 1).alias("a"), F.get(words, i).alias("b"))))
+
+    def key(p: Column) -> Column:
+        # a word of under three characters may be the end of any word
+        out = F.lit(None).cast("long")
+        for x in (True, False):
+            for y in (True, False):
+                here = ((F.length(p["a"]) >= 3) == F.lit(x)) & ((F.length(p["b"]) >= 3) == F.lit(y))
+                out = F.when(here, _seam(p["a"], p["b"], x, y)).otherwise(out)
+        return out
+
+    return sim.bind(pair, key)
+
+
+def _gram_seams(words: Column, least: int) -> Column:
+    """One key for each run of 2, 3 or 4 words of over ``least`` characters: that of its longest neighbours."""
+
+    def keys(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        runs = F.filter(F.transform(starts, lambda i: F.slice(words, i, n)), lambda run: F.length(F.array_join(run, " ")) > least)
+        return F.transform(runs, _seam_of_longest)
+
+    return F.array_distinct(F.concat(*[keys(n) for n in (2, 3, 4)]))
+
+
+def _all_seams(words: Column) -> Column:
+    """All keys under which two neighbours could be looked for."""
+    starts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(starts, lambda i: F.array(*[_seam(F.get(words, i - 1), F.get(words, i), x, y) for x in (True, False) for y in (True, False)]))
+    return F.array_distinct(F.flatten(each))
+
+
+def phrase_candidates(limitations: DataFrame, passages: DataFrame, words: str = "words", least: int = 10) -> DataFrame:
+    """item_id, doc_id and passage of all passages that can hold a run of 2 to 4 of the limitation's words, of over ``least``
+    characters, as a part of their text; some hold none.
+
+    A text that holds the run "a b c" has the words .. that end on a, b, and one that begins with c. So an index of the seams
+    between neighbouring words (their last and first characters) has every such passage under each seam of the run, also
+    where the run begins or ends inside a word. A run is looked up by the seam between its longest neighbours.
+    """
+    looked = limitations.select("item_id", F.explode(_gram_seams(F.col(words), least)).alias("_key"))
+    held = passages.select("doc_id", "passage", F.explode(_all_seams(F.col(words))).alias("_key"))
+    return looked.join(held, "_key").select("item_id", "doc_id", "passage").distinct()
+
+
 def retriever_scores(limitations: DataFrame, passages: DataFrame, provenance: float = 0.3, least: float = 0.15) -> DataFrame:
-    """item_id, doc_id, passage, lexical, phrase, context, combined and status of pairs that share a technical term and
-    reach ``least``: .4 lexical, .3 phrase, .2 context, .1 provenance.
+    """item_id, doc_id, passage, lexical, phrase, context, combined and status of pairs that reach ``least``: .4 lexical,
+    .3 phrase, .2 context, .1 provenance.
 
     Phrase: the longest run of 4, 3 or 2 words of the limitation, over ten characters, in the passage; its words over five.
+    Candidates are passages that share a technical term and those of ``phrase_candidates``: others score .1 of provenance.
     """
-    grams = [tx.ngrams(tx.words_in(tx.normalize_strict(F.col("text"))), n) for n in (2, 3, 4)]
-    left = limitations.select(
-        "item_id",
-        tx.technical_terms(F.col("text")).alias("tokens"),
-        *[F.filter(g, lambda x: F.length(x) > 10).alias(f"g{n}") for n, g in zip((2, 3, 4), grams)],
-    )
-    right = passages.select(
-        "doc_id", "passage", tx.normalize_strict(F.col("text")).alias("np"), tx.retriever_tokens(F.col("text")).alias("tokens")
-    )
-    pairs = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"])
-    lexical = F.col("shared").cast("double") / F.col("n_left")
-    pairs = pairs.select("item_id", "doc_id", "passage", lexical.alias("lexical"))
+    grams = [tx.ngrams(F.col("words"), n) for n in (2, 3, 4)]
+    left = limitations.select("item_id", tx.words_in(tx.normalize_strict(F.col("text"))).alias("words"), tx.technical_terms(F.col("text")).alias("tokens"))
+    left = left.select("*", *[F.filter(g, lambda x: F.length(x) > 10).alias(f"g{n}") for n, g in zip((2, 3, 4), grams)])
+    right = passages.select("doc_id", "passage", tx.normalize_strict(F.col("text")).alias("np"), tx.retriever_tokens(F.col("text")).alias("tokens"))
+    met = shared_tokens(left, right, ["item_id"], ["doc_id", "passage"]).select("item_id", "doc_id", "passage", "shared")
+    phrases = phrase_candidates(left, right.select("doc_id", "passage", tx.words_in(F.col("np")).alias("words")))
+    pairs = met.unionByName(phrases.withColumn("shared", F.lit(0).cast("long")))
+    pairs = pairs.groupBy("item_id", "doc_id", "passage").agg(F.max("shared").alias("shared"))
     # what texts hold is worked out before they meet, once for each text
-    rows = pairs.join(left.withColumnRenamed("tokens", "lt"), "item_id").join(right.withColumnRenamed("tokens", "pt"), ["doc_id", "passage"])
+    left = left.withColumnRenamed("tokens", "lt").withColumn("n_left", F.size(F.array_distinct("lt")))
+    rows = pairs.join(left, "item_id").join(right.withColumnRenamed("tokens", "pt"), ["doc_id", "passage"])
+    lexical = F.when(F.col("n_left") > 0, F.col("shared").cast("double") / F.col("n_left")).otherwise(0.0)
     phrase = F.lit(0.0)
     for n in (2, 3, 4):
         phrase = F.when(F.exists(f"g{n}", lambda g: F.contains(F.col("np"), g)), F.lit(n / 5)).otherwise(phrase)
     context = sim.weighted_containment(F.col("lt"), F.col("pt"))
-    rows = rows.select("item_id", "doc_id", "passage", "lexical", phrase.alias("phrase"), context.alias("context"))
+    rows = rows.select("item_id", "doc_id", "passage", lexical.alias("lexical"), phrase.alias("phrase"), context.alias("context"))
     total = 0.4 * F.col("lexical") + 0.3 * F.col("phrase") + 0.2 * F.col("context") + 0.1 * provenance
     rows = rows.withColumn("combined", F.round(total, 6)).where(F.col("combined") >= least)
     rows = rows.withColumn("status", sim.retriever_class(F.col("lexical"), F.col("phrase")))
@@ -184,6 +261,17 @@ def filter_evidence(evidence: DataFrame, minimum: float = 0.0, statuses: list[st
     return out if item_id is None else out.where(F.col("item_id") == item_id)
 
 
+def best_evidence(evidence: DataFrame, k: int = 3) -> DataFrame:
+    """The k best passages of each limitation, with rank; ties go to the smaller document and passage."""
+    return top_k(evidence, ["item_id"], [F.desc("combined"), F.asc("doc_id"), F.asc("passage")], max(1, k))
+
+
+def limitation_coverage(limitations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """item_id and coverage of every limitation that has an id: its best combined score, 0 without evidence."""
+    best = evidence.groupBy("item_id").agg(F.max("combined").alias("coverage"))
+    return limitations.where("item_id IS NOT NULL").select("item_id").distinct().join(best, "item_id", "left").na.fill(0.0, ["coverage"])
+
+
 def retriever_statistics(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("status").agg(
         F.count("*").alias("n"),

@@ -66,13 +66,11 @@ def evidence_claim_rollup(spark, sf_dir):
 
 _CHART = f"""
 {sql.PASSAGES},
-{sql.shared('benchmark', 'passages', 'item_id', 'doc_id, passage', sql.chart_tokens('text'), sql.chart_tokens('text'))},
-nl AS (SELECT item_id, {sql.normalize_unicode('text')} AS whole FROM benchmark),
-npp AS (SELECT doc_id, passage, {sql.normalize_unicode('text')} AS normal FROM passages),
-best AS (
-  SELECT p.item_id, p.doc_id, round(max(least(CAST(1.0 AS DOUBLE), CAST(shared AS DOUBLE) / (n_left + n_right - shared) + CASE WHEN contains(normal, whole) THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)), 4) AS score
-  FROM pairs p JOIN nl USING (item_id) JOIN npp ON npp.doc_id = p.doc_id AND npp.passage = p.passage GROUP BY 1, 2),
-chart AS (SELECT item_id, doc_id, score, {sql.ladder('score', sim.CHART_STEPS, 'NOT_FOUND')} AS status FROM best WHERE score >= 0.15)"""
+cl AS MATERIALIZED (SELECT item_id, whole, list_distinct(list_filter(string_split(whole, ' '), lambda w: length(w) >= 2)) AS lt FROM (SELECT item_id, {sql.normalize_unicode('text')} AS whole FROM benchmark)),
+cp AS MATERIALIZED (SELECT doc_id, normal, list_distinct(list_filter(string_split(normal, ' '), lambda w: length(w) >= 2)) AS pt FROM (SELECT doc_id, {sql.normalize_unicode('text')} AS normal FROM passages)),
+met AS (SELECT item_id, doc_id, len(list_intersect(lt, pt)) AS n, len(lt) + len(pt) AS total, CASE WHEN whole <> '' AND contains(normal, whole) THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS bonus FROM cl, cp),
+best AS (SELECT item_id, doc_id, round(max(least(CAST(1.0 AS DOUBLE), CASE WHEN n = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(n AS DOUBLE) / (total - n) END + bonus)), 4) AS score FROM met GROUP BY 1, 2),
+chart AS MATERIALIZED (SELECT item_id, doc_id, score, {sql.ladder('score', sim.CHART_STEPS, 'NOT_FOUND')} AS status FROM best WHERE score >= 0.15)"""
 
 
 def _chart(spark, sf_dir):
@@ -127,21 +125,31 @@ def document_rank_for_claim(spark, sf_dir):
 # retrieval ----------------------------------------------------------------------------------------------------------
 
 
-def _gram(n: int) -> str:
-    return f"len(list_filter(range(1, len(lw) - {n - 2}), lambda i: length(array_to_string(lw[i : i + {n - 1}], ' ')) > 10 AND contains(np, array_to_string(lw[i : i + {n - 1}], ' ')))) > 0"
+def _grams(n: int) -> str:
+    return f"list_filter(list_distinct(list_transform(range(1, len(lw) - {n - 2}), lambda i: array_to_string(lw[i : i + {n - 1}], ' '))), lambda g: length(g) > 10)"
+
+
+def _holds(n: int) -> str:
+    return f"len(list_filter(g{n}, lambda g: contains(np, g))) > 0"
 
 
 _WEIGHT = "CASE WHEN length(t) >= 10 THEN 1.25 WHEN contains(t, '-') THEN 1.2 ELSE 1.0 END"
+#: Windows of three sentences that share one, and all limitations against all of them.
+WINDOWS = f"""
+sents AS (SELECT doc_id, list_filter(string_split(regexp_replace({sql.clean('text')}, '([.!?;]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM documents),
+starts AS (SELECT doc_id, s, unnest(range(0, CAST(greatest(0, ceil((len(s) - 3) / 2.0)) AS BIGINT) + 1)) AS passage FROM sents WHERE len(s) > 0),
+windows AS (SELECT doc_id, passage, array_to_string(s[passage * 2 + 1 : passage * 2 + 3], ' ') AS text FROM starts)"""
 _RETRIEVER = f"""
-{sql.PASSAGES},
-bt AS (SELECT item_id, {sql.technical_terms('text')} AS lt, {sql.words_in(sql.normalize_strict('text'))} AS lw FROM benchmark),
-pt AS (SELECT doc_id, passage, {sql.retriever_tokens('text')} AS toks, {sql.normalize_strict('text')} AS np FROM passages),
-{sql.shared('bt', 'pt', 'item_id', 'doc_id, passage', 'lt', 'toks')},
-j AS (SELECT p.item_id, p.doc_id, p.passage, CAST(shared AS DOUBLE) / n_left AS lexical, lt, lw, toks, np FROM pairs p JOIN bt USING (item_id) JOIN pt ON pt.doc_id = p.doc_id AND pt.passage = p.passage),
+{WINDOWS},
+b0 AS (SELECT item_id, {sql.technical_terms('text')} AS lt, {sql.words_in(sql.normalize_strict('text'))} AS lw FROM benchmark),
+bt AS MATERIALIZED (
+  SELECT item_id, lt, list_distinct(lt) AS ld, list_sum(list_transform(lt, lambda t: {_WEIGHT})) AS total, {_grams(2)} AS g2, {_grams(3)} AS g3, {_grams(4)} AS g4 FROM b0),
+pt AS MATERIALIZED (SELECT doc_id, passage, list_distinct({sql.retriever_tokens('text')}) AS toks, {sql.normalize_strict('text')} AS np FROM windows),
 k AS (
-  SELECT item_id, doc_id, passage, lexical, CASE WHEN {_gram(4)} THEN 0.8 WHEN {_gram(3)} THEN 0.6 WHEN {_gram(2)} THEN 0.4 ELSE 0.0 END AS phrase,
-    least(1.0, list_sum(list_transform(lt, lambda t: CASE WHEN list_contains(toks, t) THEN {_WEIGHT} ELSE 0.0 END)) / list_sum(list_transform(lt, lambda t: {_WEIGHT}))) AS context FROM j),
-c AS (SELECT *, round(CAST(0.4 * lexical + 0.3 * phrase + 0.2 * context + 0.1 * 0.3 AS DOUBLE), 6) AS combined FROM k),
+  SELECT item_id, doc_id, passage, CASE WHEN len(lt) = 0 THEN 0.0 ELSE CAST(len(list_intersect(ld, toks)) AS DOUBLE) / len(ld) END AS lexical,
+    CASE WHEN {_holds(4)} THEN 0.8 WHEN {_holds(3)} THEN 0.6 WHEN {_holds(2)} THEN 0.4 ELSE 0.0 END AS phrase,
+    coalesce(least(1.0, list_sum(list_transform(lt, lambda t: CASE WHEN list_contains(toks, t) THEN {_WEIGHT} ELSE 0.0 END)) / total), 0.0) AS context FROM bt, pt),
+c AS MATERIALIZED (SELECT *, round(CAST(0.4 * lexical + 0.3 * phrase + 0.2 * context + 0.1 * 0.3 AS DOUBLE), 6) AS combined FROM k),
 ret AS (
   SELECT item_id, doc_id, CAST(passage AS INTEGER) AS passage, round(lexical, 6) AS lexical, CAST(phrase AS DOUBLE) AS phrase, CAST(round(context, 6) AS DOUBLE) AS context, combined,
     CASE WHEN phrase >= 0.8 AND lexical >= 0.7 THEN 'EXPLICIT' WHEN lexical >= 0.7 OR phrase >= 0.6 THEN 'PARTIAL' WHEN lexical >= 0.35 OR phrase >= 0.3 THEN 'CONTEXTUAL' WHEN lexical > 0 OR phrase > 0 THEN 'WEAK' ELSE 'NOT_FOUND' END AS status
@@ -150,7 +158,7 @@ _RET_COLUMNS = "item_id, doc_id, passage, lexical, phrase, context, combined, st
 
 
 def _retrieved(spark, sf_dir):
-    rows = ops.retriever_scores(_items(spark, sf_dir), _passages(spark, sf_dir))
+    rows = ops.retriever_scores(_items(spark, sf_dir), ops.window_passages(table(spark, sf_dir, "documents")))
     return rows.select(*_RET_COLUMNS.split(", "))
 
 

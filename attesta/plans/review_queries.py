@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
-from attesta.operators import reports, review as ops
+from attesta.operators import evidence, reports, review as ops
 from attesta.plans import sql
 from attesta.plans.claim_queries import _CLAIMS, _TURNS, _versions, claims
-from attesta.plans.evidence_queries import _SCORES, CLAIM, _evidence, reference_pairs
+from attesta.plans.evidence_queries import _RETRIEVER, _SCORES, CLAIM, _evidence, _retrieved, reference_pairs
 from attesta.plans.graph_queries import _GRAPH, _graph
 from attesta.plans.registry import ORACLE_SQL, query
 from attesta.plans.risk_queries import _OBJECTIONS, _SIGNALS, _objections, _signals
@@ -104,17 +104,18 @@ def evidence_rescored(spark, sf_dir):
     return ops.rescored(_evidence(spark, sf_dir).select("item_id", "doc_id", "passage", "lexical"), semantic, ["item_id", "doc_id"])
 
 
-@query(f"WITH {_SCORES} SELECT item_id, doc_id, CAST(passage AS INTEGER) AS passage, score, rank FROM ev WHERE rank <= 3")
+@query(f"""
+WITH {_RETRIEVER}, b AS (SELECT item_id, doc_id, passage, combined, status, row_number() OVER (PARTITION BY item_id ORDER BY combined DESC, doc_id, passage) AS rank FROM ret)
+SELECT item_id, doc_id, passage, combined, status, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 3""")
 def best_evidence(spark, sf_dir):
-    return _evidence(spark, sf_dir).where("rank <= 3").select("item_id", "doc_id", "passage", "score", "rank")
+    return evidence.best_evidence(_retrieved(spark, sf_dir)).select("item_id", "doc_id", "passage", "combined", "status", "rank")
 
 
 @query(f"""
-WITH {_SCORES}, l AS (SELECT {CLAIM} AS claim, b.item_id, coalesce(max(score), 0.0) AS coverage FROM benchmark b LEFT JOIN ev USING (item_id) GROUP BY 1, 2)
+WITH {_RETRIEVER}, l AS (SELECT {CLAIM} AS claim, b.item_id, coalesce(max(combined), 0.0) AS coverage FROM benchmark b LEFT JOIN ret USING (item_id) GROUP BY 1, 2)
 SELECT claim, count(*) AS n_limitations, round(CAST(sum(CAST(coverage AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS coverage FROM l GROUP BY 1""")
 def retrieved_claim_coverage(spark, sf_dir):
-    best = _evidence(spark, sf_dir).groupBy("item_id").agg(F.max("score").alias("coverage"))
-    rows = table(spark, sf_dir, "benchmark").select("item_id").join(best, "item_id", "left").na.fill(0.0, ["coverage"])
+    rows = evidence.limitation_coverage(table(spark, sf_dir, "benchmark"), _retrieved(spark, sf_dir))
     return rows.groupBy(F.expr(CLAIM).alias("claim")).agg(F.count("*").alias("n_limitations"), F.round(F.sum(F.col("coverage").cast("decimal(20,6)")).cast("double") / F.count("*"), 6).alias("coverage"))
 
 
