@@ -150,15 +150,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession, rows: int = 500):
-    """While whole texts and sets go to Python: fewer rows at a time than the session's setting."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _small_batches(spark: SparkSession, rows: int = 500, size: str = "4m"):
+    """While whole texts and sets go to Python: fewer rows, and bytes, at a time than the session's settings."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _signed(values) -> pa.Array:
