@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions import text as tx
+from attesta.operators.ordering import numbered
+from attesta.tables import written
 
 # Dates in figures, day first, and month first.
 _MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -108,15 +110,36 @@ def provision_search(queries: DataFrame, provisions: DataFrame, keys: list[str],
 
 
 def markdown_lines(rows: DataFrame, order: list[str], title: str) -> DataFrame:
-    """n and line of a Markdown table of rows; the title and header come first. Lines are rows, so that a report of any size
-    is written by ``write.text`` without passing through the driver."""
+    """n and line of a Markdown table of rows; the title and header come first (-3 to -1), rows from 0. Lines are rows, so that
+    a report of any size is written by ``write_lines`` without passing through the driver or one task."""
     columns = rows.columns
     head = rows.sparkSession.createDataFrame(
         [(-3, f"# {title}"), (-2, "| " + " | ".join(columns) + " |"), (-1, "|" + "---|" * len(columns))], "n long, line string"
     )
     cell = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\n]", " ") for c in columns]
     body = rows.select(F.struct(*[F.col(c) for c in order]).alias("_o"), F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line"))
-    from pyspark.sql import Window
+    return head.unionByName(numbered(body, ["_o"]).select((F.col("n") - 1).alias("n"), "line"))
 
-    numbered = body.withColumn("n", F.row_number().over(Window.orderBy("_o")).cast("long") - 1)  # reports are small tables
-    return head.unionByName(numbered.select("n", "line"))
+
+def report(title: str, sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """n (from 1) and line of a whole report in Markdown: its title, then each section's (title, rows, order) heading and table.
+
+    A section without rows says so. Lines of a section follow its rows' order; cells hold no line breaks or bars.
+    """
+    spark = sections[0][1].sparkSession
+    parts, fixed, at = [], [(1, f"# {title}")], 2
+    for name, rows, order in sections:
+        table = written(markdown_lines(rows, order, name).where("n > -3"), "report-section")
+        n = table.count() - 2
+        fixed += [(at, ""), (at + 1, f"## {name}"), (at + 2, "")]
+        at += 3
+        if n:
+            parts.append(table.select((F.col("n") + (2 + at)).alias("n"), "line"))
+            at += n + 2
+        else:
+            fixed.append((at, "_No rows._"))
+            at += 1
+    out = spark.createDataFrame(fixed, "n long, line string")
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import graph as ops
+from attesta.operators import graph as ops, manifests
 from attesta.plans import sql
 from attesta.plans.registry import query
 from attesta.session import table
@@ -125,3 +125,43 @@ def lineage_one_hop(spark, sf_dir):
 @query()
 def provenance_manifest(spark, sf_dir):
     return ops.manifest_hash(table(spark, sf_dir, "documents"), ["doc_id", "text", "source", "lang"])
+
+
+_FIELDS = ["doc_id", "text", "source", "lang"]
+
+
+def _framed_sql(columns: list[str]) -> str:
+    return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+def _digests_sql(name: str, rows: str) -> str:
+    return f"""
+{name}_each AS (SELECT CAST(CAST('0x' || substr(sha256({_framed_sql(['doc_id'])}), 1, 3) AS INTEGER) % 4096 AS INTEGER) AS chunk, doc_id, sha256({_framed_sql(_FIELDS)}) AS digest FROM {rows}),
+{name} AS (SELECT chunk, doc_id, digest, count(*) AS n FROM {name}_each GROUP BY 1, 2, 3)"""
+
+
+@query(f"""
+WITH {_digests_sql('d', 'documents')},
+l0 AS (SELECT chunk, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, '' ORDER BY p)) AS digest FROM (SELECT chunk, n, {_framed_sql(['doc_id', 'digest', 'n'])} AS p FROM d) GROUP BY chunk),
+l1 AS (SELECT chunk // 16 AS chunk, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, '' ORDER BY p)) AS digest FROM (SELECT chunk, n, lpad(CAST(chunk AS VARCHAR), 10, '0') || ':' || digest AS p FROM l0) GROUP BY 1),
+l2 AS (SELECT chunk // 16 AS chunk, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, '' ORDER BY p)) AS digest FROM (SELECT chunk, n, lpad(CAST(chunk AS VARCHAR), 10, '0') || ':' || digest AS p FROM l1) GROUP BY 1),
+l3 AS (SELECT chunk // 16 AS chunk, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, '' ORDER BY p)) AS digest FROM (SELECT chunk, n, lpad(CAST(chunk AS VARCHAR), 10, '0') || ':' || digest AS p FROM l2) GROUP BY 1)
+SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3""")
+def manifest_chunks(spark, sf_dir):
+    return manifests.manifest(table(spark, sf_dir, "documents"), ["doc_id"], _FIELDS)
+
+
+#: Documents as they were, and as they are: some missing, new, altered, and some with each other's texts.
+_OLD, _NOW = "doc_id % 97 <> 5", "doc_id % 89 <> 7"
+_ALTERED = "CASE WHEN doc_id % 101 = 3 THEN text || ' ' WHEN doc_id % 103 < 2 THEN 'swapped' || (doc_id % 103) ELSE text END"
+
+
+@query(f"""
+WITH o AS (SELECT doc_id, {_framed_sql(_FIELDS)} AS x FROM documents WHERE {_OLD}),
+n AS (SELECT doc_id, {_framed_sql(_FIELDS)} AS x FROM (SELECT doc_id, {_ALTERED} AS text, source, lang FROM documents WHERE {_NOW}))
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.x IS NULL THEN 'missing' WHEN o.x IS NULL THEN 'new' ELSE 'altered' END AS change
+FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.x IS DISTINCT FROM n.x""")
+def manifest_changed_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*_FIELDS)
+    now = docs.where(_NOW).withColumn("text", F.expr(_ALTERED))
+    return manifests.changed_rows(manifests.row_digests(docs.where(_OLD), ["doc_id"], _FIELDS), manifests.row_digests(now, ["doc_id"], _FIELDS), ["doc_id"])

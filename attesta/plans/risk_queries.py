@@ -167,3 +167,44 @@ def legal_search(spark, sf_dir):
 @query()
 def report_markdown(spark, sf_dir):
     return reports.markdown_lines(risk_by_category(spark, sf_dir), ["category"], "Risk by category")
+
+
+_CELL = "regexp_replace(coalesce(CAST({} AS VARCHAR), ''), '[|\\n]', ' ', 'g')"
+
+
+def _section_sql(name: str, title: str, rows: str, order: str, columns: list[str]) -> str:
+    """CTEs of a section: k and line in order, with its heading; one line where it has no rows."""
+    line = " || ' | ' || ".join(_CELL.format(c) for c in columns)
+    return f"""
+{name}_rows AS ({rows}),
+{name}_lines AS (
+  SELECT -5 AS k, '' AS line UNION ALL SELECT -4, '## {title}' UNION ALL SELECT -3, ''
+  UNION ALL SELECT -2, '| {' | '.join(columns)} |' FROM (SELECT count(*) AS n FROM {name}_rows) WHERE n > 0 UNION ALL SELECT -1, '|{'---|' * len(columns)}' FROM (SELECT count(*) AS n FROM {name}_rows) WHERE n > 0
+  UNION ALL SELECT -1, '_No rows._' FROM (SELECT count(*) AS n FROM {name}_rows) WHERE n = 0
+  UNION ALL SELECT row_number() OVER (ORDER BY {order}), '| ' || {line} || ' |' FROM {name}_rows)"""
+
+
+_REPORT = [
+    ("r", "Regions", "SELECT r_regionkey, r_name FROM region", "r_name", ["r_regionkey", "r_name"]),
+    ("c", "Customers of machinery", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY'", "c_nationkey, c_custkey", ["c_custkey", "c_name", "c_nationkey"]),
+    ("e", "Nothing", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 0", "n_name", ["n_nationkey", "n_name"]),
+    ("o", "Orders by part", "SELECT l_partkey, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_partkey", "n_lines, l_partkey", ["l_partkey", "n_lines", "n_orders"]),
+]
+
+
+@query(f"""
+WITH {', '.join(_section_sql(*s) for s in _REPORT)},
+every AS (SELECT 0 AS s, 0 AS k, '# Report' AS line UNION ALL {' UNION ALL '.join(f'SELECT {i + 1}, k, line FROM {s[0]}_lines' for i, s in enumerate(_REPORT))})
+SELECT row_number() OVER (ORDER BY s, k) AS n, line FROM every""")
+def report_lines(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("region", "customer", "nation", "lineitem")}
+    parts = t["lineitem"].groupBy("l_partkey").agg(F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_orders"))
+    return reports.report(
+        "Report",
+        [
+            ("Regions", t["region"].select("r_regionkey", "r_name"), ["r_name"]),
+            ("Customers of machinery", t["customer"].where("c_mktsegment = 'MACHINERY'").select("c_custkey", "c_name", "c_nationkey"), ["c_nationkey", "c_custkey"]),
+            ("Nothing", t["nation"].where("n_nationkey < 0").select("n_nationkey", "n_name"), ["n_name"]),
+            ("Orders by part", parts, ["n_lines", "l_partkey"]),
+        ],
+    )
