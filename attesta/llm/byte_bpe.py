@@ -20,6 +20,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
+from attesta.llm.common import tidied
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers at once.
 MEMO = 200_000
@@ -167,8 +169,9 @@ def _mapped(docs: DataFrame, path: str, fields: list[T.StructField], told) -> Da
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])],
                     names=schema.names,
                 )
+        use.memo.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def op6_byte_bpe(spark, sf_dir) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the characters that part words, as a character class.
@@ -58,6 +59,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(run):
+    """A function over Arrow batches that gives Arrow's unused memory back before and after: Python workers live on, and their
+    pools keep what earlier tasks needed, other stages' too."""
+
+    def tidy(batches):
+        pool = pa.default_memory_pool()
+        pool.release_unused()
+        for batch in run(batches):
+            yield batch
+            del batch
+        pool.release_unused()
+
+    return tidy
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from attesta.llm.common import is_held_out, saved
+from attesta.llm.common import is_held_out, saved, tidied
 
 #: N-grams in a profile.
 TOP = 300
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP) ->
     counts = saved(
         usable.where(draw < share[F.col("lang")])
         .select("lang", "text")
-        .mapInArrow(_count_batches, "lang string, code long, n long")
+        .mapInArrow(tidied(_count_batches), "lang string, code long, n long")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n")),
         "ngrams",
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def labelled(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
@@ -174,7 +174,7 @@ def labelled(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> D
             batch = batch.set_column(at, "lang", pa.array([f[0] for f in found], pa.string()))
             yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= least_score for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op3_language_id(spark, sf_dir) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from attesta.llm import simhash
-from attesta.llm.common import forget, free_shuffles, saved
+from attesta.llm.common import forget, free_shuffles, saved, tidied
 from attesta.llm.simhash import components
 from attesta.llm.word_arrays import hashed_words, mixed, slices
 
@@ -163,21 +163,6 @@ def _small_batches(spark: SparkSession, rows: int = 500, size: str = "4m"):
             spark.conf.set(name, value)
 
 
-def _tidy(run):
-    """A function over batches that gives unused memory of Arrow back before and after: workers live on, and their pools keep
-    what earlier tasks needed, other stages' too."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = pa.default_memory_pool()
-        pool.release_unused()
-        for batch in run(batches):
-            yield batch
-            del batch
-        pool.release_unused()
-
-    return tidied
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
@@ -212,7 +197,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     longs = [(n, T.LongType()) for n in ("hash", "key", "size", "fp")]
     lists = [(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch", "parities")]
     fields = [("doc_id", docs.schema["doc_id"].dataType), *longs, *lists]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_tidy(run), T.StructType([T.StructField(*f) for f in fields]))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(tidied(run), T.StructType([T.StructField(*f) for f in fields]))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -225,7 +210,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 [_signed([key_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"]
             )
 
-    return docs.select("text").mapInArrow(_tidy(run), "key long, shingles binary")
+    return docs.select("text").mapInArrow(tidied(run), "key long, shingles binary")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -247,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield batch.select(["src", "dst"]).filter(pa.array(hit, pa.bool_()))
 
-    return rows.mapInArrow(_tidy(run), "src long, dst long")
+    return rows.mapInArrow(tidied(run), "src long, dst long")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
