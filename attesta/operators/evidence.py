@@ -32,6 +32,13 @@ def sentence_passages(docs: DataFrame, least: int = 8) -> DataFrame:
     return docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"), least=least)).alias("passage", "text"))
 
 
+def packed_passages(docs: DataFrame, most: int = 700) -> DataFrame:
+    """doc_id, passage (from 0) and text: sentences, their ends kept, packed in order into passages of at most ``most``
+    characters; a longer sentence is a passage of its own, and a text without any has none."""
+    sentences = tx.sentences_with_ends(F.col("text"), ".!?")
+    return docs.select("doc_id", F.posexplode(tx.packed(sentences, most)).alias("passage", "text"))
+
+
 def window_passages(docs: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame:
     """doc_id, passage (from 0) and text: windows of sentences, their ends kept, that overlap."""
     parts = docs.select("doc_id", tx.sentences_with_ends(F.col("text")).alias("s"))

@@ -120,7 +120,7 @@ def page_texts(spark, sf_dir):
     return pages.select("page_id", F.length("text").alias("n_characters"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
-@query()
+@query(f"WITH {sql.PACKED} SELECT doc_id, CAST(passage AS INTEGER) AS passage, CAST(length(text) AS INTEGER) AS n_characters, 'P-' || substr(sha256({sql.clean('text')}), 1, 12) AS passage_id FROM passages")
 def passage_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.sentences_with_ends(F.col("text"), ".!?").alias("s"))
     rows = docs.select("doc_id", F.posexplode(tx.packed(F.col("s"), 700)).alias("passage", "text"))

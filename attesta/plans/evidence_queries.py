@@ -1,5 +1,5 @@
-"""Queries over evidence: items of ``benchmark`` are limitations, sentences of ``documents`` are passages. Four items in a row
-stand for the limitations of one claim."""
+"""Queries over evidence: items of ``benchmark`` are limitations, parts of ``documents`` are passages: packed sentences for the
+evidence, sentences for charts, windows for retrieval. Four items in a row stand for the limitations of one claim."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ def _items(spark, sf_dir):
 
 
 def _passages(spark, sf_dir):
-    return ops.sentence_passages(table(spark, sf_dir, "documents"))
+    return ops.packed_passages(table(spark, sf_dir, "documents"))
 
 
 _SCORES = f"""
-{sql.PASSAGES},
+{sql.PACKED},
 {sql.shared('benchmark', 'passages', 'item_id', 'doc_id, passage', sql.meaningful('text'), sql.meaningful('text'))},
 lim2 AS (SELECT item_id, {sql.meaningful('text')} AS lt FROM benchmark),
 pas2 AS (SELECT doc_id, passage, {sql.normalize('text')} AS np FROM passages),
@@ -74,7 +74,7 @@ chart AS MATERIALIZED (SELECT item_id, doc_id, score, {sql.ladder('score', sim.C
 
 
 def _chart(spark, sf_dir):
-    return ops.chart(_items(spark, sf_dir), _passages(spark, sf_dir))
+    return ops.chart(_items(spark, sf_dir), ops.sentence_passages(table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_CHART} SELECT item_id, doc_id, score, status FROM chart")

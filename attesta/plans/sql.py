@@ -75,6 +75,14 @@ passages AS (
   FROM (SELECT doc_id, {sentences('text', 8)} AS s FROM documents))"""
 
 
+#: Passages of documents of at most 700 characters, sentences packed in order: doc_id, passage (from 0) and text.
+PACKED = f"""
+packed AS (
+  SELECT doc_id, list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 700 THEN list_concat(a[:-2], [a[-1] || ' ' || x[1]]) ELSE list_concat(a, x) END) AS s
+  FROM (SELECT doc_id, list_filter(string_split(regexp_replace({clean('text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM documents) WHERE len(s) > 0),
+passages AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(s))) AS passage, unnest(s) AS text FROM packed)"""
+
+
 def shared(left: str, right: str, left_key: str, right_keys: str, tokens_left: str, tokens_right: str) -> str:
     """CTEs lt, rt and pairs: pairs of rows that share a token, with shared, n_left and n_right."""
     return f"""

@@ -19,7 +19,7 @@ def _id(prefix: str, *columns: str):
 
 def _analysis(spark, sf_dir) -> ops.Graph:
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    passages = ev.sentence_passages(docs)
+    passages = ev.packed_passages(docs)
     found = ev.ranked_evidence(ev.passage_scores(items, passages))
     texts = found.select("item_id", "doc_id", "passage", "score").join(passages.select("doc_id", "passage", "text"), ["doc_id", "passage"])
     claim = items.select(F.expr(CLAIM).alias("number")).distinct()

@@ -35,6 +35,13 @@ def test_windows_keep_ends_and_overlap(spark):
     assert rows == {(1, 0): "A b. C d! E f?", (1, 1): "E f? G; h i", (4, 0): "one"}
 
 
+def test_packed_passages(spark):
+    a, b, c = "a" * 9 + ".", "b" * 8 + "!", "c" * 30
+    docs = spark.createDataFrame([(1, f"{a}  {b}\n\n{c} d? e"), (2, " \n"), (3, None), (4, "x")], "doc_id long, text string")
+    rows = {(r.doc_id, r.passage): r.text for r in ev.packed_passages(docs, 20).collect()}
+    assert rows == {(1, 0): f"{a} {b}", (1, 1): f"{c} d?", (1, 2): "e", (4, 0): "x"}
+
+
 def test_phrases_without_a_shared_term(spark):
     rows = ev.retriever_scores(limits(spark, "using providing having", "of it to be or so it is"), passages(spark, "by using providing it", "it causing providing havings", None, "", "roof it to be or song", "of it to bee"))
     found = {(r.item_id, r.doc_id, r.passage): (r.phrase, r.combined) for r in rows.collect()}
