@@ -15,6 +15,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language matches less than this is none of the languages learned.
 LEAST_LANGUAGE_SCORE = 0.2
 REDACTED = "[REDACTED]"
+#: Bytes of texts that go to a Python worker at a time; stages set this for the session, whose default has no bound.
+BATCH_BYTES = "8m"
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` becomes the predicted language. Null and empty texts have none and go. Rows with one doc_id and text share a
     prediction.
     """
+    _bounded(spark)
     profiles = language_id.learn(docs)
     return language_id.labelled(docs.select(COLUMNS), profiles, LEAST_LANGUAGE_SCORE)
 
@@ -33,11 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Near duplicates share four fifths of their five-word shingles, exactly measured, or are linked by such documents. Ids may
     be null or repeated: unlike texts are in groups of their own whatever their ids. Null and empty texts are one group.
     """
+    _bounded(spark)
     return shingle_links.one_of_each(docs.select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each secret in its text replaced; n_chars follows the text."""
+    _bounded(spark)
     found = secret_scan.scan(docs, keep=tuple(COLUMNS))
     text = F.when(F.size("spans") > 0, secret_scan.redacted(F.col("text"), F.col("spans"), REDACTED)).otherwise(F.col("text"))
     n_chars = F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -49,6 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; rows with one doc_id are documents of their own, and a null source is one source.
     """
+    _bounded(spark)
     return mixing.remixed(docs, COLUMNS)
 
 
@@ -57,6 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty; repeated rows give a row each.
     """
+    _bounded(spark)
     return byte_bpe.encode(docs).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
