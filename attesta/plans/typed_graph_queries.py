@@ -11,6 +11,7 @@ from attesta.plans.evidence_queries import _SCORES, CLAIM
 from attesta.plans.graph_queries import _GRAPH, _graph
 from attesta.plans.registry import query
 from attesta.session import table
+from attesta.tables import written
 
 
 def _id(prefix: str, *columns: str):
@@ -20,8 +21,8 @@ def _id(prefix: str, *columns: str):
 def _analysis(spark, sf_dir) -> ops.Graph:
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     passages = ev.packed_passages(docs)
-    found = ev.ranked_evidence(ev.passage_scores(items, passages))
-    texts = found.select("item_id", "doc_id", "passage", "score").join(passages.select("doc_id", "passage", "text"), ["doc_id", "passage"])
+    found = written(ev.limitation_evidence(items, docs), "evidence")  # a few rows for each limitation
+    texts = passages.select("doc_id", "passage", "text").join(F.broadcast(found.select("item_id", "doc_id", "passage", "score")), ["doc_id", "passage"])
     claim = items.select(F.expr(CLAIM).alias("number")).distinct()
     none = F.lit(None).cast("string")
     claims = ops.claims(claim.select(F.lit("P").alias("patent_id"), _id("C", "number").alias("claim_id"), "number", _id("claim ", "number").alias("text"), none.alias("type"), none.alias("category")))
