@@ -104,14 +104,19 @@ def graph(*parts: Graph) -> Graph:
     result doesn't depend on order, and an empty value doesn't hide one that is not.
     """
     rows = reduce(DataFrame.unionByName, [p.nodes for p in parts])
-    named = rows.groupBy("node_id").agg(F.min(F.struct("node_type", "label")).alias("x"))
-    values = rows.select("node_id", F.explode("properties")).groupBy("node_id", "key").agg(F.max("value").alias("value"))
+    ids = reduce(DataFrame.unionByName, [p.nodes.select("node_id") for p in parts])
+    # Only ids are shuffled to find those that several rows add to; properties, texts among them, are only of these.
+    shared = written(ids.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1").select("node_id"), "shared")
+    several = rows.join(shared, "node_id", "left_semi")
+    named = several.groupBy("node_id").agg(F.min(F.struct("node_type", "label")).alias("x"))
+    values = several.select("node_id", F.explode("properties")).groupBy("node_id", "key").agg(F.max("value").alias("value"))
     merged = values.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
-    empty = F.create_map().cast("map<string,string>")
-    nodes = named.join(merged, "node_id", "left").select("node_id", "x.node_type", "x.label", F.coalesce("properties", empty).alias("properties"))
+    columns = ["node_id", "node_type", "label", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties")]
+    met = named.join(merged, "node_id", "left").select("node_id", "x.node_type", "x.label", "properties")
+    nodes = rows.join(shared, "node_id", "left_anti").select(*columns).unionByName(met.select(*columns))
     edges = reduce(DataFrame.unionByName, [p.edges for p in parts]).distinct()
     for end in ("source", "target"):
-        edges = edges.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+        edges = edges.join(ids.select(F.col("node_id").alias(end)), end, "left_semi")
     return Graph(nodes, edges)
 
 
@@ -211,17 +216,19 @@ def ancestors(parents: DataFrame) -> DataFrame:
     A parent that is no artifact itself is an ancestor without any of its own. An artifact that is its own ancestor by a cycle
     is not told.
     """
-    hops = parents.where("artifact IS NOT NULL AND parent IS NOT NULL").select(F.col("artifact").alias("source"), F.col("parent").alias("target")).distinct()
-    frontier = written(hops.where("source <> target").select("source", "target", F.lit(1).alias("depth")), "ancestors")
-    parts = [frontier]
+    hops = parents.where("artifact IS NOT NULL AND parent IS NOT NULL AND artifact <> parent").select(F.col("artifact").alias("source"), F.col("parent").alias("target")).distinct()
+    parts, reach = [written(hops.withColumn("depth", F.lit(1)), "ancestors")], 1
     while True:
-        # what was found last round goes on by the hops of its end
-        step = frontier.join(hops.select(F.col("source").alias("target"), F.col("target").alias("next")), "target")
-        step = step.select("source", F.col("next").alias("target"), (F.col("depth") + 1).alias("depth")).where("source <> target").distinct()
-        seen = reduce(DataFrame.unionByName, [p.select("source", "target") for p in parts])
-        frontier = written(step.join(seen, ["source", "target"], "left_anti"), "ancestors")
-        if frontier.isEmpty():
-            dropped(frontier)
+        # what is exactly as deep as was looked goes on by all that its end comes from, so that each round looks twice as deep
+        seen = reduce(DataFrame.unionByName, parts)
+        ends = parts[-1].where(F.col("depth") == reach)
+        step = ends.join(seen.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more")), "target")
+        step = step.select("source", F.col("next").alias("target"), (F.col("depth") + F.col("more")).alias("depth")).where("source <> target")
+        step = step.groupBy("source", "target").agg(F.min("depth").alias("depth"))
+        found = written(step.join(seen.select("source", "target"), ["source", "target"], "left_anti"), "ancestors")
+        if found.isEmpty():
+            dropped(found)
             break
-        parts.append(frontier)
+        parts.append(found)
+        reach *= 2
     return reduce(DataFrame.unionByName, parts).select(F.col("source").alias("artifact"), F.col("target").alias("ancestor"), "depth")

@@ -32,6 +32,7 @@ def _analysis(spark, sf_dir) -> ops.Graph:
     evidence = texts.select(
         _id("E", "item_id", "doc_id", "passage").alias("evidence_id"), _id("D", "doc_id").alias("document_id"), _id("L", "item_id").alias("limitation_id"), "text", "score"
     )
+    evidence = written(evidence, "passages")  # as few rows; passages are packed once
     best = found.withColumn("number", F.expr(CLAIM)).groupBy("number").agg(F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"), F.col("passage"))).alias("doc_id"), F.max("score").alias("score"))
     status = F.when(F.col("score") >= 0.6, "STRONG").otherwise("WEAK")
     novelty = best.select(_id("NOV-", "number").alias("finding_id"), F.col("number").alias("claim_number"), status.alias("status"), _id("D", "doc_id").alias("document_id"))

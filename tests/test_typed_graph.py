@@ -101,3 +101,19 @@ def test_findings_of_claims(graph):
     rows = {(r.claim_number, r.kind, r.finding_id, r.document_id) for r in ops.claim_findings(graph).collect()}
     assert rows == {(1, "novelty", "N1", "D1"), (1, "novelty", "N3", ""), (1, "amendments", "AN1", ""), (1, "amendments", "AN3", "")}
     assert [tuple(r) for r in ops.prior_art_of_claims(graph).collect()] == [(1, "D1", "first")]
+
+
+def test_texts_of_nodes_told_once_are_not_shuffled(spark):
+    docs = ops.documents(spark.createDataFrame([("D1", "a", "s", "t"), ("D2", "b", "s", "u"), ("D2", "b", "s", "v")], "document_id string, title string, source string, text string"))
+    nodes = ops.graph(docs).nodes
+    assert {r.node_id: r.properties for r in nodes.collect()} == {"D1": {"source": "s", "text": "t"}, "D2": {"source": "s", "text": "v"}}
+    once = nodes.where("node_id = 'D1' AND node_type = 'PRIOR_ART_DOCUMENT'")
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and len(once.collect()) == 1
+
+
+def test_ancestors_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(ops, "written", lambda df, name, write=ops.written: rounds.append(name) or write(df, name))
+    found = ops.ancestors(spark.createDataFrame([(f"a{i:02}", f"a{i + 1:02}") for i in range(40)], "artifact string, parent string"))
+    assert found.count() == 40 * 41 // 2 and len(rounds) <= 8
