@@ -10,9 +10,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import text as tx
+from attesta.operators.ordering import numbered
 from attesta.tables import dropped, written
 
 # Types of nodes and edges.
@@ -210,6 +211,58 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, most: int | None = None)
     return reduce(DataFrame.unionByName, parts)
 
 
+def shortest_paths_to(edges: DataFrame, starts: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """As ``shortest_paths``, but only of nodes that are in ``targets`` (node_id).
+
+    What each node leads to is first found backward from the targets, as flags of 64 of them in a number: a row for each node
+    and 64 targets, however many paths there are. Then the smallest next node is chosen for each node that a start needs, and
+    only the paths of the result are put together.
+    """
+    hops = written(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "hops")
+    named = written(targets.where("node_id IS NOT NULL").select(F.col("node_id").alias("node")).distinct(), "named")
+    ends = written(numbered(named, ["node"]).select("node", F.floor(F.col("n") / 64).alias("group"), (F.col("n") % 64).cast("int").alias("flag")), "targets")
+    dropped(named)
+    own = starts.select(F.col("node_id").alias("node")).distinct().withColumn("start", F.lit(True))
+
+    # reach[d]: flags of the targets that a node is d hops from, and not fewer
+    reach = [written(ends.select("node", "group", F.expr("shiftleft(1L, flag)").alias("flags")), "reach")]
+    while most is None or len(reach) <= most:
+        step = hops.join(reach[-1], F.col("target") == F.col("node")).select(F.col("source").alias("node"), "group", "flags", F.lit(0).cast("long").alias("seen"))
+        seen = reduce(DataFrame.unionByName, reach).select("node", "group", F.lit(0).cast("long").alias("flags"), F.col("flags").alias("seen"))
+        met = step.unionByName(seen).groupBy("node", "group").agg(F.bit_or("flags").alias("flags"), F.bit_or("seen").alias("seen"))
+        found = written(met.select("node", "group", F.col("flags").bitwiseAND(F.bitwise_not("seen")).alias("flags")).where("flags <> 0"), "reach")
+        if found.isEmpty():
+            dropped(found)
+            break
+        reach.append(found)
+
+    # choices[d]: where a node goes first to reach targets in d hops; each flag is at one next node, the smallest
+    choices, passed = {}, None
+    before = Window.partitionBy("node", "group").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+    for left in range(len(reach) - 1, 0, -1):
+        wanted = reach[left].join(own, "node")
+        if passed is not None:
+            wanted = wanted.unionByName(passed).groupBy("node", "group").agg(F.bit_or("flags").alias("flags"), F.max("start").alias("start"))
+        ahead = reach[left - 1].select(F.col("node").alias("next"), "group", F.col("flags").alias("ahead"))
+        rows = hops.withColumnsRenamed({"source": "node", "target": "next"}).join(wanted, "node").join(ahead, ["next", "group"])
+        rows = rows.withColumn("flags", F.col("flags").bitwiseAND(F.col("ahead"))).where("flags <> 0").select("node", "group", "next", "flags", "start")
+        fresh = F.col("flags").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("flags").over(before), F.lit(0).cast("long"))))
+        choices[left] = written(rows.withColumn("flags", fresh).where("flags <> 0"), "choices")
+        passed = choices[left].groupBy(F.col("next").alias("node"), "group").agg(F.bit_or("flags").alias("flags")).withColumn("start", F.lit(False))
+    dropped(hops, *reach)
+
+    paths = ends.select("node", "group", "flag", F.array("node").alias("path"))
+    parts = [paths.join(own, "node", "left_semi").select("path")]
+    for left in range(1, len(reach)):
+        rest = paths.select(F.col("node").alias("next"), "group", "flag", "path")
+        on = choices[left].join(rest, ["next", "group"]).where(F.expr("getbit(flags, flag) = 1"))
+        paths = on.select("node", "group", "flag", F.concat(F.array("node"), "path").alias("path"), "start")
+        paths = written(paths, "paths") if left < len(reach) - 1 else paths
+        parts.append(paths.where("start").select("path"))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("node"), (F.size("path") - 1).alias("depth"), "path")
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
     """artifact, ancestor and depth (hops, the fewest) of all that each artifact comes from, of parents (artifact, parent).
 

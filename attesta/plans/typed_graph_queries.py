@@ -96,8 +96,9 @@ SELECT start, node, CAST(depth AS INTEGER) AS depth, array_to_string(path, ' > '
 def graph_shortest_paths(spark, sf_dir):
     """From each customer to all nations: its own, and those of the suppliers of what it ordered."""
     nodes, edges = _graph(spark, sf_dir)
-    found = ops.shortest_paths(edges, nodes.where("node_type = 'CUSTOMER'").select("node_id"), 4)
-    return found.where("node LIKE 'N%'").select("start", "node", "depth", F.array_join("path", " > ").alias("path"))
+    nations = edges.where("target LIKE 'N%'").select(F.col("target").alias("node_id"))
+    found = ops.shortest_paths_to(edges, nodes.where("node_type = 'CUSTOMER'").select("node_id"), nations, 4)
+    return found.select("start", "node", "depth", F.array_join("path", " > ").alias("path"))
 
 
 _PARENTS = """

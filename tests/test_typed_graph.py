@@ -117,3 +117,27 @@ def test_ancestors_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(ops, "written", lambda df, name, write=ops.written: rounds.append(name) or write(df, name))
     found = ops.ancestors(spark.createDataFrame([(f"a{i:02}", f"a{i + 1:02}") for i in range(40)], "artifact string, parent string"))
     assert found.count() == 40 * 41 // 2 and len(rounds) <= 8
+
+
+def test_paths_to_targets_are_those_of_a_search_from_all_starts(spark):
+    pairs = [(f"n{i}", f"n{(i * k + 3) % 150}") for i in range(150) for k in (2, 5, 11)] + [("n1", None), (None, "n2"), ("s", "s"), ("s", "t")]
+    first, wanted = starts(spark, "n0", "n7", "n7", "n64", "s", "gone"), starts(spark, *[f"n{i}" for i in range(0, 150, 2)], "n7", "n7", "t", "s", "far", None)
+    e, wished = edges(spark, pairs + pairs), {r.node_id for r in wanted.collect() if r.node_id}
+    for most in (0, 3, None):
+        expected = sorted(tuple(r) for r in ops.shortest_paths(e, first, most).collect() if r.node in wished)
+        assert sorted(tuple(r) for r in ops.shortest_paths_to(e, first, wanted, most).collect()) == expected
+    assert ops.shortest_paths_to(e, first, starts(spark), 4).collect() == []
+
+
+def test_paths_to_nations_hold_no_rows_for_what_lies_between(spark, monkeypatch):
+    from attesta.plans import typed_graph_queries as queries
+
+    layers = [[f"C{i}" for i in range(15)], [f"O{i}" for i in range(15)], [f"P{i}" for i in range(15)], [f"S{i}" for i in range(15)], ["N1", "N2"]]
+    pairs = [(a, b) for one, two in zip(layers, layers[1:]) for a in one for b in two]
+    nodes = spark.createDataFrame([(c, "CUSTOMER") for c in layers[0]], "node_id string, node_type string")
+    monkeypatch.setattr(queries, "_graph", lambda *_: (nodes, edges(spark, pairs)))
+    most = []
+    monkeypatch.setattr(ops, "written", lambda df, name, write=ops.written: (out := write(df, name), most.append(out.count()))[0])
+    found = {(r.start, r.node): r.path for r in queries.graph_shortest_paths(spark, "").collect()}
+    assert len(found) == 30 and found["C4", "N2"] == "C4 > O0 > P0 > S0 > N2"
+    assert sum(most) < 2 * len(pairs)  # the pairs once, and a few rows for each node
