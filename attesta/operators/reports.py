@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.functions import text as tx
+from attesta.functions import similarity as sim, text as tx
 from attesta.operators.ordering import numbered
 from attesta.tables import written
 
@@ -33,15 +33,18 @@ HIGH_PRIORITY = ["novelty", "inventive_step", "section_3"]
 def claim_numbers(text: Column) -> Column:
     """The distinct numbers after "claim(s)": lists, and ranges of up to 100 with a dash or "to", spread out."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"\bclaims?\s+((?:\d+\s*(?:-|–|to|,|and|&)?\s*)+)"), F.lit(1))
-    ranges = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"\d+\s*(?:-|–|to)\s*\d+"), F.lit(0))))
 
     def spread(r: Column) -> Column:
         a = F.regexp_extract(r, r"^(\d+)", 1).cast("int")
         b = F.regexp_extract(r, r"(\d+)$", 1).cast("int")
         return F.when((b >= a) & (b - a <= 100), F.sequence(a, F.greatest(a, b))).otherwise(F.array(a, b))
 
-    single = F.transform(F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)))), lambda n: n.cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(single, F.flatten(F.transform(ranges, spread))), lambda n: n > 0)))
+    def numbers(found: Column) -> Column:
+        ranges = F.flatten(F.transform(found, lambda r: F.regexp_extract_all(r, F.lit(r"\d+\s*(?:-|–|to)\s*\d+"), F.lit(0))))
+        single = F.transform(F.flatten(F.transform(found, lambda r: F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)))), lambda n: n.cast("int"))
+        return F.concat(single, F.flatten(F.transform(ranges, spread)))
+
+    return F.array_sort(F.array_distinct(F.filter(sim.bind(runs, numbers), lambda n: n > 0)))
 
 
 def statutory_sections(text: Column) -> Column:

@@ -147,7 +147,8 @@ def fer_claim_numbers(spark, sf_dir):
     from attesta.plans.claim_queries import claims
 
     t = F.concat(F.lit("Claims 1-3, and claim "), F.col("number").cast("string"), F.lit(" lack novelty under Section 3(k): "), F.col("text"))
-    rows = claims(spark, sf_dir).select("family", "number", reports.claim_numbers(t).alias("c"), reports.statutory_sections(t).alias("s"))
+    rows = claims(spark, sf_dir).select("family", "number", t.alias("t"))
+    rows = rows.select("family", "number", reports.claim_numbers(F.col("t")).alias("c"), reports.statutory_sections(F.col("t")).alias("s"))
     return rows.select("family", "number", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("claim_numbers"), F.array_join("s", ",").alias("sections"))
 
 
