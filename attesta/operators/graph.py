@@ -16,9 +16,12 @@ def nodes(*parts: DataFrame) -> DataFrame:
 
 
 def edges(*parts: DataFrame) -> DataFrame:
-    """edge_id, source, target, edge_type, each edge once."""
+    """edge_id, source, target, edge_type, each edge once.
+
+    Edges are dealt out by their source, so that a join on it, or a count of it, needs no shuffle of its own.
+    """
     rows = reduce(DataFrame.unionByName, [p.select("source", "target", "edge_type") for p in parts])
-    return rows.distinct().withColumn("edge_id", edge_id(F.col("source"), F.col("target"), F.col("edge_type")))
+    return rows.repartition("source").distinct().withColumn("edge_id", edge_id(F.col("source"), F.col("target"), F.col("edge_type")))
 
 
 def edge_id(source: Column, target: Column, kind: Column) -> Column:
@@ -59,8 +62,8 @@ def two_hops(found: DataFrame, first: str, second: str) -> DataFrame:
 def dangling(found: DataFrame, known: DataFrame) -> DataFrame:
     """edge_id, end and missing: ends that are no known node."""
     ids = known.select("node_id")
-    sides = [found.select("edge_id", F.lit(c).alias("end"), F.col(c).alias("missing")) for c in ("source", "target")]
-    return sides[0].unionByName(sides[1]).join(ids, F.col("missing") == F.col("node_id"), "left_anti")
+    sides = [found.join(ids, F.col(c) == F.col("node_id"), "left_anti").select("edge_id", F.lit(c).alias("end"), F.col(c).alias("missing")) for c in ("source", "target")]
+    return sides[0].unionByName(sides[1])
 
 
 # checks -------------------------------------------------------------------------------------------------------------
