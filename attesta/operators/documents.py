@@ -3,6 +3,8 @@ what needs an order within a document is a window over the document's id."""
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import text as tx
@@ -90,6 +92,13 @@ def chunks(docs: DataFrame, size: int = 6000, overlap: int = 500, id_col: str =
     return rows.select(id_col, (F.col("chunk") + 1).alias("chunk"), start.alias("start"), end.alias("end"), F.substring("_t", start + 1, end - start).alias("text"))
 
 
+def chunked(docs: DataFrame, of: Callable[[Column], Column], size: int = 6000, overlap: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and passages: what ``of`` makes of the texts of ``chunks``, in order, as one array."""
+    cleaned = docs.select(id_col, tx.clean_manual(F.col(text_col)).alias("_t"))
+    rows = cleaned.select(id_col, "_t", tx.chunks(F.col("_t"), size, overlap).alias("_at"))
+    return rows.select(id_col, F.transform("_at", lambda at: of(F.substring("_t", at["start"] + 1, at["end"] - at["start"]))).alias("passages"))
+
+
 def windows(docs: DataFrame, size: int = 3, overlap: int = 1, ends: str = ".!?", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, window (from 1) and text of windows of sentences."""
     parts = docs.select(id_col, tx.sentences(F.col(text_col), ends).alias("_s"))

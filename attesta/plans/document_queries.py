@@ -104,14 +104,9 @@ s AS (SELECT item_id, doc_id, chunk, count(*) AS score FROM qt JOIN ct USING (to
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk) AS rank FROM s)
 SELECT item_id, rank, doc_id, chunk, score FROM r WHERE rank <= 5""")
 def manual_search_topk(spark, sf_dir):
-    from attesta.operators.search import shared_tokens, top_k
+    from attesta.operators.search import manual_search
 
-    chunks = ops.chunks(table(spark, sf_dir, "documents")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), tx.manual_tokens(F.col("text")).alias("tokens"))
-    queries = table(spark, sf_dir, "benchmark").select("item_id", tx.manual_tokens(F.col("text")).alias("tokens"))
-    pairs = shared_tokens(queries, chunks, ["item_id"], ["doc_id", "chunk"]).withColumnRenamed("shared", "score")
-    return top_k(pairs, ["item_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 5).select(
-        "item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "chunk", "score"
-    )
+    return manual_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query()
