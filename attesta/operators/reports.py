@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions import similarity as sim, text as tx
@@ -11,6 +13,8 @@ from attesta.tables import written
 # Dates in figures, day first, and month first.
 _MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 DATE_PATTERNS = [r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", rf"(?i)\b\d{{1,2}}\s+{_MONTHS}\s+\d{{4}}\b", rf"(?i)\b{_MONTHS}\s+\d{{1,2}},?\s+\d{{4}}\b"]
+#: The characters that they can begin with.
+DATE_BEGINS = ["[0-9]", "[0-9]", "[ADFJMNOSadfjmnos]"]
 # Words that make a date near them a deadline.
 DEADLINE_WORDS = ["deadline", "within", "respond", "response", "reply", "time limit", "period", "days", "months", "due", "on or before"]
 #: Characters before and after a date that are read with it.
@@ -74,20 +78,36 @@ def deadlines(texts: DataFrame, keys: list[str], text_col: str = "text") -> Data
     """The keys, date_text and context of every date with a deadline's word within ``AROUND`` characters.
 
     The keys name a text: a date and context that recur there, whatever their case, are one row, the first. Null and empty
-    texts have none. A regular expression reads the context on both sides without taking it, so near dates keep theirs.
+    texts have none. Dates stand where the parts between them end, so that near dates keep their contexts. Texts that come
+    dealt out by the keys are not shuffled again.
     """
 
-    def found(k: int, p: str) -> Column:
-        # the first look ahead passes by quickly where no date begins
-        around = rf"(?s)(?={p})(?<=(\A.{{0,{AROUND - 1}}}|.{{{AROUND}}}))({p})(?=(.{{0,{AROUND}}}))"
-        before, date, after = (F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(around), F.lit(i)) for i in (1, 2, 3))
-        parts = F.arrays_zip(before.alias("b"), date.alias("d"), after.alias("a"))
-        return F.transform(parts, lambda z, i: F.struct(F.lit(k).alias("k"), i.alias("i"), z["b"].alias("b"), z["d"].alias("d"), z["a"].alias("a")))
-
-    each = texts.select(*keys, F.explode(F.concat(*[found(k, p) for k, p in enumerate(DATE_PATTERNS)])).alias("f"))
-    rows = each.select(*keys, F.struct("f.k", "f.i").alias("_at"), tx.clean(F.col("f.d")).alias("date_text"), tx.clean(F.concat("f.b", "f.d", "f.a")).alias("context"))
-    rows = rows.where(F.lower("context").rlike("|".join(DEADLINE_WORDS)))
-    first = rows.groupBy(*keys, F.lower("date_text").alias("_d"), F.lower("context").alias("_c")).agg(F.min(F.struct("_at", "date_text", "context")).alias("f"))
+    def found(k: int, begin: str, p: str) -> Column:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        # a look at one character passes by quickly where no date begins
+        pattern = F.lit(f"(?={begin}){p}")
+
+        def contexts(dates: Column) -> Column:
+            def steps(parts: Column) -> Column:
+                return F.transform(dates, lambda d, i: F.length(F.get(parts, i)) + F.coalesce(F.length(F.get(dates, i - 1)), F.lit(0)))
+
+            def added(acc: Column, n: Column) -> Column:
+                return F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+
+            def around(at: Column, i: Column) -> Column:
+                start, date = F.greatest(at - AROUND, F.lit(0)), F.get(dates, i)
+                return F.struct(F.lit(k).alias("k"), i.alias("i"), date.alias("d"), F.substring(text, start + 1, at + F.length(date) + AROUND - start).alias("c"))
+
+            starts = F.aggregate(sim.bind(F.split(text, pattern, -1), steps), F.array().cast("array<int>"), added)
+            return F.when(F.size(dates) > 0, F.transform(starts, around)).otherwise(F.array().cast("array<struct<k:int,i:int,d:string,c:string>>"))
+
+        return sim.bind(F.regexp_extract_all(text, pattern, F.lit(0)), contexts)
+
+    each = texts.select(*keys, F.explode(F.concat(*[found(k, b, p) for k, (b, p) in enumerate(zip(DATE_BEGINS, DATE_PATTERNS))])).alias("f"))
+    rows = each.select(*keys, F.struct("f.k", "f.i").alias("_at"), tx.clean(F.col("f.d")).alias("date_text"), tx.clean(F.col("f.c")).alias("context"))
+    rows = rows.withColumn("_c", F.lower("context"))
+    rows = rows.where(reduce(lambda x, y: x | y, [F.contains("_c", F.lit(w)) for w in DEADLINE_WORDS]))
+    first = rows.groupBy(*keys, F.lower("date_text").alias("_d"), "_c").agg(F.min(F.struct("_at", "date_text", "context")).alias("f"))
     return first.select(*keys, "f.date_text", "f.context")
 
 

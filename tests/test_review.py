@@ -1,6 +1,9 @@
 """Operators on small tables with values worked out by hand: nulls, empty texts, ties, repeated rows, clashing names."""
 
+import re
+
 from attesta.operators import amendments, evidence, reports, review
+from attesta.plans.catalog import QUERIES
 from attesta.sources import results
 from attesta.streaming import ledger
 
@@ -95,6 +98,22 @@ def test_deadlines_of_odd_texts(spark):
     assert reports.deadlines(spark.createDataFrame([], "k long, text string"), ["k"]).count() == 0
 
 
+def test_deadlines_in_many_and_near_dates(spark):
+    texts = [(1, "1/2/23,3/4/24;5-6-2025 due\n\n 7 May 2026 " + "x " * 300 + "8/9/27"), (2, " ".join(f"{i % 28 + 1}/3/2024" for i in range(400)) + " due"), (1, "1/2/23,3/4/24;5-6-2025 DUE   7 may 2026 " + "x " * 300 + "8/9/27")]
+    found = reports.deadlines(spark.createDataFrame(texts, "k long, text string"), ["k"])
+    assert sorted(r.date_text for r in found.where("k = 1").collect()) == ["1/2/23", "3/4/24", "5-6-2025", "7 May 2026"]
+    plain = {}
+    for m in re.finditer(r"\d{1,2}/\d{1,2}/\d{4}", texts[1][1]):
+        context = texts[1][1][max(0, m.start() - 250) : m.end() + 250].strip()
+        plain |= {(m.group(), context): 1} if "due" in context else {}
+    assert sorted((r.date_text, r.context) for r in found.where("k = 2").collect()) == sorted(plain)
+
+
+def test_contexts_of_deadlines_are_not_shuffled(spark):
+    plan = QUERIES["fer_deadlines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
 def test_actions_for_unknown_categories(spark):
     found = reports.response_actions(spark.createDataFrame([("section_3",), ("new",), (None,)], "category string"))
     assert sorted(((r.category or "", r.action, r.priority) for r in found.collect())) == sorted(
